@@ -162,7 +162,7 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
 
 
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"]).drop("longest_repeat")
 
 
 OP10_SQL = f"""
@@ -180,7 +180,7 @@ rm AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS repeat_words FROM (SELECT doc
 gl AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, count(*) AS c FROM p WHERE i + {MAX_REPEAT} <= n GROUP BY doc_id, md5(array_to_string(w[i:i+{MAX_REPEAT}], ' '))) WHERE c > 1),
 a AS (SELECT m.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(repeat_words, 0) AS repeat_words, gl.doc_id IS NOT NULL AS long_repeat
       FROM m LEFT JOIN dup USING (doc_id) LEFT JOIN r3 USING (doc_id) LEFT JOIN rm USING (doc_id) LEFT JOIN gl USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM (
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, repeat_words, kept FROM (
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
        NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND repeat_words <= {MAX_FRACTION} * n_words AND NOT long_repeat AS kept FROM a)
 """
