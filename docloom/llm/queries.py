@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding, simhash
+from . import decontaminate, mixing, quality, sharding, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_warc": warc.op4_warc,
+    "op6_url_filter": urlfilter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op10_suffix_repetition": quality.op10_suffix_repetition,
@@ -14,6 +16,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op8_poisson_mix": mixing.OP8_SQL,
     "op10_suffix_repetition": quality.OP10_SQL,
 }
