@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding, simhash, urlfilter, warc
+from . import decontaminate, hmm, mixing, quality, sharding, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_warc": warc.op4_warc,
+    "op5_hmm": hmm.op5_hmm,
     "op6_url_filter": urlfilter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,
     "op8_poisson_mix": mixing.op8_poisson_mix,
