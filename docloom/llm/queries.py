@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hmm, mixing, quality, sharding, simhash, urlfilter, warc
+from . import decontaminate, hmm, mixing, parsing, quality, sharding, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_prefix_free_parsing": parsing.op2_prefix_free_parsing,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_warc": warc.op4_warc,
     "op5_hmm": hmm.op5_hmm,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_prefix_free_parsing": parsing.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
     "op8_poisson_mix": mixing.OP8_SQL,
