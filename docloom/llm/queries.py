@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hmm, mixing, parsing, quality, sharding, simhash, urlfilter, warc
+from . import decontaminate, hmm, lines, mixing, parsing, quality, sharding, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filter": urlfilter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,
     "op8_poisson_mix": mixing.op8_poisson_mix,
+    "op9_fuzzy_lines": lines.op9_fuzzy_lines,
     "op10_suffix_repetition": quality.op10_suffix_repetition,
 }
 
