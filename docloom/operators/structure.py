@@ -77,10 +77,10 @@ def find_clause(paragraphs: DataFrame, anchor: Column, operative: str, forward:
     return best.select("file_key", "b.para", "b.level", F.md5(F.concat_ws(" | ", "b._before", "b._after")).alias("window_key"))
 
 
-def toc_titles(paragraphs: DataFrame, known: list[str]) -> DataFrame:
-    """Recognised titles of each document's contents; two are needed to believe it."""
+def toc_titles(paragraphs: DataFrame, known: DataFrame) -> DataFrame:
+    """Recognised titles (known: title) of each document's contents; two are needed to believe it."""
     rows = paragraphs.filter(is_toc_line(F.col("content"))).withColumn("title", F.trim(F.regexp_replace(F.lower("content"), r"[.\s]*\d*$", "")))
-    return rows.filter(F.col("title").isin(known)).groupBy("file_key").agg(F.array_sort(F.collect_set("title")).alias("titles")).filter("size(titles) >= 2")
+    return rows.join(known, "title", "left_semi").groupBy("file_key").agg(F.array_sort(F.collect_set("title")).alias("titles")).filter("size(titles) >= 2")
 
 
 def annex_headers(paragraphs: DataFrame, header: Column, cap: int = 250) -> DataFrame:
