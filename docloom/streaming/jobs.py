@@ -46,7 +46,8 @@ def log_windows(log: DataFrame, size: str = "1 hour", late: str = "2 hours", kin
     """Per time window and kind: entries, those with value zero or none, users and sum of values.
     Entries later than ``late`` are dropped from a stream."""
     return (
-        log.withWatermark("ts", late)
+        log.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", size), kind)
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("value", F.lit(0.0)) == 0).alias("zero"), F.approx_count_distinct("user_id").alias("users"), F.sum("value").alias("total"))
         .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), kind, "n", "zero", "users", "total")
@@ -55,7 +56,7 @@ def log_windows(log: DataFrame, size: str = "1 hour", late: str = "2 hours", kin
 
 def distinct_recent(log: DataFrame, key: list[str], late: str = "2 hours") -> DataFrame:
     """First entry of each condition; in a stream within the watermark."""
-    marked = log.withWatermark("ts", late)
+    marked = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return marked.dropDuplicatesWithinWatermark(key) if log.isStreaming else marked.dropDuplicates(key)
 
 
