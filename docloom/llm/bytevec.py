@@ -38,6 +38,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """What a difference of prefix sums that starts at 0 .. n-1 is multiplied with."""
+    return _powers(_INV, n)
+
+
 def byte_table(separators: bytes) -> np.ndarray:
     """True for the bytes that belong to words."""
     table = np.ones(256, dtype=bool)

@@ -17,14 +17,15 @@ shuffle of hashes (never of one row a byte):
    comes back with its smallest document;
 2. blocks send their different phrases under such triggers; back comes the phrase's smallest
    document, and whether its trigger has further phrases;
-3. an occurrence of a phrase in a larger document is removed whole.  Where a trigger has
-   several phrases, each one's first document sends the suffixes (windows) of the phrase; equal
-   suffixes of different phrases meet in one rank and the smallest document comes back;
+3. an occurrence of a phrase in a larger document is removed whole.  Where phrases of one
+   trigger agree in the bytes before or after it, each one's first document sends the suffixes
+   (windows) on that side; equal suffixes of different phrases meet in one rank and the
+   smallest document comes back;
 4. spans are united per document and the kept bytes are hashed.
 
 What a block sends is de-duplicated first, so a passage that a third of all documents share
-costs one entry a block; triggers in very many blocks are spread by phrase.  Strings are
-compared by 112 bits of two hashes.  The documents are dealt to blocks once; all steps read
+costs one entry a block; triggers in very many blocks are spread by phrase.  Phrases
+are compared by 112 bits of two hashes, suffixes by 88.  The documents are dealt to blocks once; all steps read
 that one exchange.
 """
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytevec import RUN_BYTES, as_bytes, mix, prefix_sums, runs, span_hashes, spans_union
+from .bytevec import RUN_BYTES, as_bytes, inverse_powers, mix, prefix_sums, runs, span_hashes, spans_union
 
 WIDTH, GRAM = 50, 24
 BLOCK_BYTES = 8 << 20
@@ -82,38 +83,64 @@ def pieces(offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarr
 
 
 def phrases(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """Phrases of a stretch: text, first and last window start, trigger hash, phrase hash, and
-    the prefix sums to hash further spans with."""
+    """Phrases of a stretch: text, first and last window start, the trigger's place, trigger hash,
+    phrase hash, and the prefix sums to hash further spans with."""
     prefix = prefix_sums(buf)
     n = len(buf) - width + 1
     empty = np.zeros(0, np.int64)
+    nothing = empty, empty, empty, empty, empty.view(_U), empty.view(_U), prefix
     if n <= 0:
-        return empty, empty, empty, empty.view(_U), empty.view(_U), prefix
+        return nothing
     at = np.arange(len(buf) - gram + 1)
-    grams = span_hashes(prefix, at, at + gram)
+    grams = (prefix[gram:] - prefix[: len(at)]) * inverse_powers(len(at))
     top = (1 << POS_BITS) - 1
-    low = (grams >> _U(POS_BITS) << _U(POS_BITS)) | (top - at).astype(_U)
+    low = grams * _U(0xD6E8FEB86659FD93)
+    low &= ~_U(top)
+    low |= (top - at).view(_U)
     span, reach = 1, width - gram + 1
     while span < reach:  # sliding minimum by doubling
         step = min(span, reach - span)
         low = np.minimum(low[:-step], low[step:])
         span += step
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    valid = np.flatnonzero(np.arange(n) + width <= offsets[doc + 1])
-    trigger = top - (low[valid] & _U(top)).astype(np.int64)
+    valid = np.ones(n, bool)
+    late = (offsets[1:, None] - np.arange(1, width)).ravel()  # windows that would leave their text
+    valid[late[(late >= 0) & (late < n)]] = False
+    valid = np.flatnonzero(valid)
     if not len(valid):
-        return empty, empty, empty, empty.view(_U), empty.view(_U), prefix
-    new = np.append(True, (trigger[1:] != trigger[:-1]) | (doc[valid[1:]] != doc[valid[:-1]]))
-    first = np.flatnonzero(new)
+        return nothing
+    trigger = top - (low[valid] & _U(top)).view(np.int64)
+    first = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
     lo, hi, trig = valid[first], valid[np.append(first[1:], len(valid)) - 1], trigger[first]
     whole = mix(span_hashes(prefix, lo, hi + width) + (trig - lo).astype(_U) * _U(0x9E3779B97F4A7C15))
-    return doc[lo], lo, hi, grams[trig] >> _U(16), whole, prefix
+    return np.searchsorted(offsets, lo, side="right") - 1, lo, hi, trig, span_hashes(prefix, trig, trig + gram) >> _U(16), whole, prefix
 
 
 class Block:
     """A block's texts in a fixed order, and their phrases."""
 
+    def sides(self, pick: np.ndarray, half: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+        """16-bit codes of the ``half`` bytes before and after the triggers; 0 where the phrase
+        has no window with so many bytes on that side."""
+        left, right = np.zeros(len(pick), _U), np.zeros(len(pick), _U)
+        for k, (a, prefix) in enumerate(self.stretches):
+            here = np.flatnonzero(self.stretch[pick] == k)
+            at, lo, end = self.at[pick[here]] - a, self.lo[pick[here]] - a, self.hi[pick[here]] - a + self.width
+            ok = at - lo >= half
+            left[here[ok]] = (span_hashes(prefix, at[ok] - half, at[ok]) & _U(0xFFFF)) | _U(1)
+            ok = end - (at + gram) >= half
+            right[here[ok]] = (span_hashes(prefix, at[ok] + gram, at[ok] + gram + half) & _U(0xFFFF)) | _U(1)
+        return left, right
+
+    def suffixes(self, owner: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Hashes of the windows at ``start``; owner: their phrases."""
+        out = np.zeros(len(start), _U)
+        for k, (a, prefix) in enumerate(self.stretches):
+            here = np.flatnonzero(self.stretch[owner] == k)
+            out[here] = span_hashes(prefix, start[here] - a, start[here] - a + self.width)
+        return out
+
     def __init__(self, table: pa.Table, width: int, parse: bool = True):
+        self.width = width
         table = table.select(["_id", "t"]).sort_by([("_id", "ascending"), ("t", "ascending")])
         self.raw_ids = table.column("_id")
         self.ids = self.raw_ids.fill_null(NO_ID).to_numpy()
@@ -122,11 +149,11 @@ class Block:
             return
         parts, self.stretches = [], []
         for k, (a, b, off, first) in enumerate(pieces(self.offsets, width)):
-            doc, lo, hi, trig, whole, prefix = phrases(self.buf[a:b], off, width)
-            parts.append((doc + first, lo + a, hi + a, trig, whole, np.full(len(doc), k)))
+            doc, lo, hi, at, trig, whole, prefix = phrases(self.buf[a:b], off, width)
+            parts.append((doc + first, lo + a, hi + a, trig, whole, np.full(len(doc), k), at + a))
             self.stretches.append((a, prefix))
-        kinds = (np.int64, np.int64, np.int64, _U, _U, np.int64)
-        self.doc, self.lo, self.hi, self.trig, self.whole, self.stretch = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(6))
+        kinds = (np.int64, np.int64, np.int64, _U, _U, np.int64, np.int64)
+        self.doc, self.lo, self.hi, self.trig, self.whole, self.stretch, self.at = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(7))
         self.id = self.ids[self.doc]
 
 
@@ -167,6 +194,27 @@ def find(keys: tuple[np.ndarray, ...], table: tuple[np.ndarray, ...]) -> np.ndar
     return np.where(same, at, -1)
 
 
+def shared_sides(trig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Flags of different phrases: 1 if another phrase of the trigger has the same bytes before
+    it, 2 for the bytes after it.  Only then can they share a window that lies on that side."""
+    out = np.zeros(len(trig), np.int64)
+    for flag, code in ((1, left), (2, right)):
+        key = mix(trig * _U(0x9E3779B97F4A7C15) + code)
+        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+        out |= np.where((n[at] > 1) & (code > 0), flag, 0)
+    return out
+
+
+def windows_of(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, flags: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts of phrases, with the phrase of each: those with ``half`` bytes or more before
+    the trigger if flag 1 is set, those with fewer or as many if flag 2 is."""
+    first = np.where(flags & 1, lo, np.maximum(lo, at - half))
+    last = np.where(flags & 2, hi, np.minimum(hi, at - half))
+    count = np.maximum(last - first + 1, 0)
+    owner = np.repeat(np.arange(len(lo)), count)
+    return owner, np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def _rows(route: np.ndarray, block: int, widths: list[int], *fields: np.ndarray) -> pa.Table:
     """One packed row per route."""
     order = np.lexsort((fields[0], route))
@@ -223,9 +271,12 @@ def dedup_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         many = size[group] > 1
         return _replies(block[many], [6, 8, 1], trig[many], first[group[many]], (size[group[many]] > hot_blocks).astype(np.int64))
 
+    half = (width - GRAM) // 2
+
     def send_phrases(docs_: pa.Table, replies: pa.Table) -> pa.Table:
+        widths = [6, 8, 8, 1, 2, 2]
         if not docs_.num_rows:
-            return _rows(np.zeros(0, np.int64), 0, [6, 8, 8, 1], *[np.zeros(0, np.int64)] * 4)
+            return _rows(np.zeros(0, np.int64), 0, widths, *[np.zeros(0, np.int64)] * 6)
         b = Block(docs_, width)
         (trig, _, hot), _ = _read(replies, [6, 8, 1])
         at = find((b.trig,), (trig,))
@@ -234,52 +285,51 @@ def dedup_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         pick = shared[head]
         is_hot = hot[at[pick]].astype(np.int64)
         route = np.where(is_hot == 1, mix(b.trig[pick] ^ b.whole[pick]) % buckets, b.trig[pick] % buckets).astype(np.int64)
-        return _rows(route, _key(docs_), [6, 8, 8, 1], b.trig[pick], b.whole[pick], low, is_hot)
+        return _rows(route, _key(docs_), widths, b.trig[pick], b.whole[pick], low, is_hot, *b.sides(pick, half))
 
     def meet_phrases(table: pa.Table) -> pa.Table:
-        (trig, whole, low, hot), block = _read(table, [6, 8, 8, 1])
+        (trig, whole, low, hot, left, right), block = _read(table, [6, 8, 8, 1, 2, 2])
         group, head, first = first_ids(low.view(np.int64), trig, whole)
-        of_trigger, _, _ = first_ids(first, trig[head])
-        several = np.bincount(of_trigger, minlength=1)[of_trigger] > 1
-        return _replies(block, [6, 8, 8, 1], trig, whole, first[group], (several[group] | (hot == 1)).astype(np.int64))
+        flags = shared_sides(trig[head], left[head], right[head]) | np.where(hot[head] == 1, 3, 0)
+        return _replies(block, [6, 8, 8, 1], trig, whole, first[group], flags[group])
 
     def send_suffixes(docs_: pa.Table, replies: pa.Table) -> pa.Table:
-        """Suffixes go to their bucket; removed spans and the block's own suffixes, under the
+        """Suffixes go to their bucket; removed spans and the phrases to be asked about, under the
         route -1 - block, to the last step."""
         if not docs_.num_rows:
-            return _rows(np.zeros(0, np.int64), 0, [6, 8, 8], *[np.zeros(0, np.int64)] * 3)
+            return _rows(np.zeros(0, np.int64), 0, [3, 8, 8], *[np.zeros(0, np.int64)] * 3)
         b, me = Block(docs_, width), _key(docs_)
-        (trig, whole, low, several), _ = _read(replies, [6, 8, 8, 1])
+        (trig, whole, low, flags), _ = _read(replies, [6, 8, 8, 1])
         group, head, first = first_ids(b.id, b.trig, b.whole)
-        of_trigger, _, _ = first_ids(first, b.trig[head])
-        split = np.bincount(of_trigger, minlength=1)[of_trigger] > 1
         at = find((b.trig[head], b.whole[head]), (trig, whole))
         known = at >= 0
         first[known] = np.minimum(first[known], low.view(np.int64)[at[known]])
-        split[known] |= several[at[known]] == 1
+        several = np.bincount(np.unique(b.trig[head], return_inverse=True)[1], minlength=1)
+        several = several[np.unique(b.trig[head], return_inverse=True)[1]] > 1
+        ask_flags = np.zeros(len(head), np.int64)
+        here = np.flatnonzero(several)
+        ask_flags[here] = shared_sides(b.trig[head[here]], *b.sides(head[here], half))
+        ask_flags[known] |= flags[at[known]].astype(np.int64)
         gone = b.id > first[group]
-        spans = [b.doc[gone], b.lo[gone] - b.offsets[b.doc[gone]], b.hi[gone] + width - b.offsets[b.doc[gone]]]
-        ask = np.flatnonzero(~gone & split[group])
-        count = b.hi[ask] - b.lo[ask] + 1
-        owner = np.repeat(ask, count)
-        start = np.repeat(b.lo[ask] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        suffix = np.zeros(len(start), _U)
-        for k, (a, prefix) in enumerate(b.stretches):
-            here = np.flatnonzero(b.stretch[owner] == k)
-            suffix[here] = span_hashes(prefix, start[here] - a, start[here] - a + width)
+        base = b.offsets[b.doc]
+        spans = [b.doc[gone], (b.lo - base)[gone], (b.hi + width - base)[gone]]
+        ask = np.flatnonzero(~gone & (ask_flags[group] > 0))
+        owner, start = windows_of(b.lo[ask], b.hi[ask], b.at[ask], ask_flags[group[ask]], half)
+        owner = ask[owner]
+        suffix = b.suffixes(owner, start)
         _, head, low = first_ids(b.id[owner], b.trig[owner], suffix)
-        out = _rows((mix(suffix[head]) % buckets).astype(np.int64), me, [6, 8, 8], b.trig[owner[head]], suffix[head], low)
-        own = pack((b.doc[owner], 4), (start - b.offsets[b.doc[owner]], 5), (b.trig[owner], 6), (suffix, 8))
-        mine = pa.table({"route": [-1 - me, -1 - me], "block": [me, me], "n": [len(spans[0]), -len(owner)], "data": [pack(*[(s, 5) for s in spans]), own]}, schema=out.schema)
+        out = _rows((mix(suffix[head]) % buckets).astype(np.int64), me, [3, 8, 8], b.trig[owner[head]], suffix[head], low)
+        own = pack((b.doc[ask], 4), ((b.lo - base)[ask], 5), ((b.hi - b.lo)[ask], 2), ((b.at - b.lo)[ask], 1), (ask_flags[group[ask]], 1))
+        mine = pa.table({"route": [-1 - me, -1 - me], "block": [me, me], "n": [len(spans[0]), -len(ask)], "data": [pack(*[(s, 5) for s in spans]), own]}, schema=out.schema)
         return pa.concat_tables([out, mine])
 
     def meet_suffixes(table: pa.Table) -> pa.Table:
-        if _key(table, "route") < 0:  # passes through; kind is told by the sign of block and n
+        if _key(table, "route") < 0:  # passes through; the sign of n tells spans from phrases
             return table.set_column(0, "route", table.column("block"))
-        (trig, suffix, low), block = _read(table, [6, 8, 8])
+        (trig, suffix, low), block = _read(table, [3, 8, 8])
         group, _, first = first_ids(low.view(np.int64), trig, suffix)
-        many = np.bincount(group, minlength=1)[group] > 1
-        out = _replies(block[many], [6, 8, 8], trig[many], suffix[many], first[group[many]])
+        many = (np.bincount(group, minlength=1)[group] > 1) & (low.view(np.int64) > first[group])
+        out = _replies(block[many], [3, 8, 8], trig[many], suffix[many], first[group[many]])
         return out.set_column(1, "block", pa.array([-1] * out.num_rows, pa.int64()))
 
     def remove(docs_: pa.Table, replies: pa.Table) -> pa.Table:
@@ -288,15 +338,32 @@ def dedup_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         pick = lambda test: [i for i in range(len(sizes)) if test(i)]
         read = lambda rows, widths: unpack([blobs[i] for i in rows], [abs(sizes[i]) for i in rows], widths)
         doc, lo, hi = (x.astype(np.int64) for x in read(pick(lambda i: tags[i] >= 0 and sizes[i] >= 0), [5, 5, 5]))
-        at, start, trig, suffix = read(pick(lambda i: tags[i] >= 0 and sizes[i] < 0), [4, 5, 6, 8])
-        known_t, known_s, known_low = read(pick(lambda i: tags[i] < 0), [6, 8, 8])
-        at, start = at.astype(np.int64), start.astype(np.int64)
-        group, head, first = first_ids(b.ids[at], trig, suffix)
-        where = find((trig[head], suffix[head]), (known_t, known_s))
-        known = where >= 0
-        first[known] = np.minimum(first[known], known_low.view(np.int64)[where[known]])
-        gone = b.ids[at] > first[group] if len(at) else np.zeros(0, bool)
-        doc, lo, hi = np.concatenate([doc, at[gone]]), np.concatenate([lo, start[gone]]), np.concatenate([hi, start[gone] + width])
+        at, begin, long, place, flags = (x.astype(np.int64) for x in read(pick(lambda i: tags[i] >= 0 and sizes[i] < 0), [4, 5, 2, 1, 1]))
+        known_t, known_s, known_low = read(pick(lambda i: tags[i] < 0), [3, 8, 8])
+        found = [(doc, lo, hi)]
+        low_bits = _U((1 << 24) - 1)
+        begin += b.offsets[at]
+        order = np.argsort(begin, kind="stable")
+        at, begin, long, place, flags = at[order], begin[order], long[order], place[order], flags[order]
+        asked: list[tuple] = []
+        for a, e, _, _ in pieces(b.offsets, width):
+            here = np.arange(np.searchsorted(begin, a), np.searchsorted(begin + long + width, e, side="right"))
+            if not len(here):
+                continue
+            prefix = prefix_sums(b.buf[a:e])
+            x = begin[here] - a
+            owner, start = windows_of(x, x + long[here], x + place[here], flags[here], half)
+            trig = (span_hashes(prefix, x + place[here], x + place[here] + GRAM) >> _U(16)) & low_bits
+            asked.append((at[here[owner]], start + a, trig[owner], span_hashes(prefix, start, start + width)))
+        if asked:
+            at, start, trig, suffix = (np.concatenate(x) for x in zip(*asked, strict=True))
+            group, head, first = first_ids(b.ids[at], trig, suffix)
+            where = find((trig[head], suffix[head]), (known_t, known_s))
+            known = where >= 0
+            first[known] = np.minimum(first[known], known_low.view(np.int64)[where[known]])
+            gone = b.ids[at] > first[group]
+            found.append((at[gone], (start - b.offsets[at])[gone], (start - b.offsets[at])[gone] + width))
+        doc, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((lo, doc))
         base = b.offsets[doc[order]]
         # spans of neighbouring texts may touch, so they are united a text at a time
