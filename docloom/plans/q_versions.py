@@ -17,11 +17,11 @@ cls AS (SELECT file_key, role, CASE WHEN role = 'unknown' THEN NULL WHEN strong
 
 
 def _project(c):
-    f = c.files
-    return f.withColumn("project", F.concat("folder", F.lit(":"), (F.col("doc_id") % 25).cast("string")))
+    """Files under projects of several types, without the seller's drafts, so that one author is left."""
+    return c.files.filter("doc_id % 8 <> 2").withColumn("project", F.concat("folder", F.lit(":"), (F.col("doc_id") % 5).cast("string"))).withColumn("ctype", F.lit("any"))
 
 
-_PROJ = "SELECT *, folder || ':' || (doc_id % 25) AS project FROM fx_files"
+_PROJ = "SELECT * REPLACE ('any' AS ctype), folder || ':' || (doc_id % 5) AS project FROM fx_files WHERE doc_id % 8 <> 2"
 
 
 @query("version_roles", f"WITH {_CLASS} SELECT file_key, role, confidence, basis FROM cls")
@@ -41,8 +41,11 @@ def markup_rounds(c):
     return c.files.select("file_key", V.markup_round(F.col("filename")).alias("round"))
 
 
-@query("markup_parties", f"""WITH p AS ({_PROJ}), m AS (SELECT *, nullif(regexp_extract(lower(filename), '([0-9]+)(?:st|nd|rd|th)', 1), '')::INTEGER AS rnd, list(DISTINCT CASE WHEN version_role IN ('buyer_draft','seller_draft') THEN split_part(version_role, '_', 1) END) FILTER (version_role IN ('buyer_draft','seller_draft')) OVER (PARTITION BY ctype, lang, project) AS authors FROM p)
- SELECT file_key, CASE WHEN one THEN CASE WHEN rnd % 2 = 1 THEN CASE WHEN authors[1] = 'buyer' THEN 'seller' ELSE 'buyer' END ELSE authors[1] END || '_markup' ELSE version_role END AS resolved_role, CASE WHEN one THEN 'low' ELSE version_confidence END AS resolved_confidence FROM (SELECT *, version_role = 'markup_unknown' AND coalesce(len(authors), 0) = 1 AND rnd IS NOT NULL AS one FROM m)""")
+_PARTIES = f"""WITH p AS ({_PROJ}), m AS (SELECT *, nullif(regexp_extract(lower(filename), '([0-9]+)(?:st|nd|rd|th)', 1), '')::INTEGER AS rnd, list(DISTINCT CASE WHEN version_role IN ('buyer_draft','seller_draft') THEN split_part(version_role, '_', 1) END) FILTER (version_role IN ('buyer_draft','seller_draft')) OVER (PARTITION BY ctype, lang, project) AS authors FROM p)
+ SELECT file_key, version_role, CASE WHEN one THEN CASE WHEN rnd % 2 = 1 THEN CASE WHEN authors[1] = 'buyer' THEN 'seller' ELSE 'buyer' END ELSE authors[1] END || '_markup' ELSE version_role END AS resolved_role, CASE WHEN one THEN 'low' ELSE version_confidence END AS resolved_confidence FROM (SELECT *, version_role = 'markup_unknown' AND coalesce(len(authors), 0) = 1 AND rnd IS NOT NULL AS one FROM m)"""
+
+
+@query("markup_parties", f"SELECT * EXCLUDE (version_role) FROM ({_PARTIES})")
 def markup_parties(c):
     return V.resolve_parties(_project(c)).select("file_key", "resolved_role", "resolved_confidence")
 
@@ -93,8 +96,8 @@ def priority_tiers(c):
     return V.tiers(_project(c)).select("file_key", "project", "tier")
 
 
-@query("version_backfill", f"WITH {_CLASS} SELECT f.file_key, f.version_role AS old_role, cls.role AS new_role FROM fx_files f JOIN cls USING (file_key) WHERE f.version_role IS DISTINCT FROM cls.role")
+@query("version_backfill", f"SELECT file_key, version_role AS old_role, resolved_role AS new_role FROM ({_PARTIES}) WHERE version_role <> resolved_role")
 def version_backfill(c):
-    """Dry run of the backfill: rows whose role changes."""
-    rows = c.files.withColumn("v", V.classify(F.col("filename")))
-    return rows.filter(~F.col("version_role").eqNullSafe(F.col("v.role"))).select("file_key", F.col("version_role").alias("old_role"), F.col("v.role").alias("new_role"))
+    """Dry run of the backfill: rows whose role changes once parties are inferred."""
+    rows = V.resolve_parties(_project(c))
+    return rows.filter("version_role <> resolved_role").select("file_key", F.col("version_role").alias("old_role"), F.col("resolved_role").alias("new_role"))
