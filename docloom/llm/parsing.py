@@ -13,8 +13,8 @@ windows can only be equal if their phrases have the same trigger, so the order o
 up to WIDTH bytes follows from the dictionary's suffixes within one trigger.  Steps, each a
 shuffle of hashes (never of one row a byte):
 
-1. blocks of documents send their different triggers; a trigger that other blocks have too
-   comes back with its smallest document;
+1. blocks of documents send their different triggers; those that other blocks have too come
+   back;
 2. blocks send their different phrases under such triggers; back comes the phrase's smallest
    document, and whether its trigger has further phrases;
 3. an occurrence of a phrase in a larger document is removed whole.  Where phrases of one
@@ -25,7 +25,7 @@ shuffle of hashes (never of one row a byte):
 
 What a block sends is de-duplicated first, so a passage that a third of all documents share
 costs one entry a block; triggers in very many blocks are spread by phrase.  Phrases
-are compared by 112 bits of two hashes, suffixes by 88.  The documents are dealt to blocks once; all steps read
+are compared by 96 bits or more of two hashes, suffixes by 88.  The documents are dealt to blocks once; all steps read
 that one exchange.
 """
 
@@ -112,7 +112,7 @@ def phrases(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int
     first = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
     lo, hi, trig = valid[first], valid[np.append(first[1:], len(valid)) - 1], trigger[first]
     whole = mix(span_hashes(prefix, lo, hi + width) + (trig - lo).astype(_U) * _U(0x9E3779B97F4A7C15))
-    return np.searchsorted(offsets, lo, side="right") - 1, lo, hi, trig, span_hashes(prefix, trig, trig + gram) >> _U(16), whole, prefix
+    return np.searchsorted(offsets, lo, side="right") - 1, lo, hi, trig, span_hashes(prefix, trig, trig + gram), whole, prefix
 
 
 class Block:
@@ -139,7 +139,7 @@ class Block:
             out[here] = span_hashes(prefix, start[here] - a, start[here] - a + self.width)
         return out
 
-    def __init__(self, table: pa.Table, width: int, parse: bool = True):
+    def __init__(self, table: pa.Table, width: int, shift: int, parse: bool = True):
         self.width = width
         table = table.select(["_id", "t"]).sort_by([("_id", "ascending"), ("t", "ascending")])
         self.raw_ids = table.column("_id")
@@ -154,6 +154,7 @@ class Block:
             self.stretches.append((a, prefix))
         kinds = (np.int64, np.int64, np.int64, _U, _U, np.int64, np.int64)
         self.doc, self.lo, self.hi, self.trig, self.whole, self.stretch, self.at = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(7))
+        self.trig >>= _U(shift)
         self.id = self.ids[self.doc]
 
 
@@ -194,6 +195,11 @@ def find(keys: tuple[np.ndarray, ...], table: tuple[np.ndarray, ...]) -> np.ndar
     return np.where(same, at, -1)
 
 
+def phrase_key(trig: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """One hash of a trigger and its phrase, to find a reply within a block by."""
+    return mix(trig * _U(0x9E3779B97F4A7C15) ^ whole)
+
+
 def shared_sides(trig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Flags of different phrases: 1 if another phrase of the trigger has the same bytes before
     it, 2 for the bytes after it.  Only then can they share a window that lies on that side."""
@@ -258,27 +264,28 @@ def dedup_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     n_blocks = 1 + size // block_bytes
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("_id", "t"), F.lit(n_blocks)))
     buckets = _U(n_blocks)
+    # as many bytes of a trigger's hash as keep chance matches rare in a corpus of this size
+    trig_bytes = min(8, max(4, -(-(int(size).bit_length() + 6) // 8)))
+    shift = 64 - 8 * trig_bytes
 
     def send_triggers(table: pa.Table) -> pa.Table:
-        b = Block(table, width)
-        _, head, low = first_ids(b.id, b.trig)
-        return _rows((b.trig[head] % buckets).astype(np.int64), _key(table), [6, 8], b.trig[head], low)
+        trig = np.unique(Block(table, width, shift).trig)
+        return _rows((trig % buckets).astype(np.int64), _key(table), [trig_bytes], trig)
 
     def meet_triggers(table: pa.Table) -> pa.Table:
-        (trig, low), block = _read(table, [6, 8])
-        group, _, first = first_ids(low.view(np.int64), trig)
-        size = np.bincount(group, minlength=1)
+        (trig,), block = _read(table, [trig_bytes])
+        _, group, size = np.unique(trig, return_inverse=True, return_counts=True)
         many = size[group] > 1
-        return _replies(block[many], [6, 8, 1], trig[many], first[group[many]], (size[group[many]] > hot_blocks).astype(np.int64))
+        return _replies(block[many], [trig_bytes, 1], trig[many], (size[group[many]] > hot_blocks).astype(np.int64))
 
     half = (width - GRAM) // 2
 
     def send_phrases(docs_: pa.Table, replies: pa.Table) -> pa.Table:
-        widths = [6, 8, 8, 1, 2, 2]
+        widths = [trig_bytes, 8, 8, 1, 2, 2]
         if not docs_.num_rows:
             return _rows(np.zeros(0, np.int64), 0, widths, *[np.zeros(0, np.int64)] * 6)
-        b = Block(docs_, width)
-        (trig, _, hot), _ = _read(replies, [6, 8, 1])
+        b = Block(docs_, width, shift)
+        (trig, hot), _ = _read(replies, [trig_bytes, 1])
         at = find((b.trig,), (trig,))
         shared = np.flatnonzero(at >= 0)
         _, head, low = first_ids(b.id[shared], b.trig[shared], b.whole[shared])
@@ -288,20 +295,22 @@ def dedup_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         return _rows(route, _key(docs_), widths, b.trig[pick], b.whole[pick], low, is_hot, *b.sides(pick, half))
 
     def meet_phrases(table: pa.Table) -> pa.Table:
-        (trig, whole, low, hot, left, right), block = _read(table, [6, 8, 8, 1, 2, 2])
+        (trig, whole, low, hot, left, right), block = _read(table, [trig_bytes, 8, 8, 1, 2, 2])
         group, head, first = first_ids(low.view(np.int64), trig, whole)
         flags = shared_sides(trig[head], left[head], right[head]) | np.where(hot[head] == 1, 3, 0)
-        return _replies(block, [6, 8, 8, 1], trig, whole, first[group], flags[group])
+        # a block learns nothing where it has the first document and no suffix is asked for
+        news = (flags[group] > 0) | (low.view(np.int64) > first[group])
+        return _replies(block[news], [8, 8, 1], phrase_key(trig, whole)[news], first[group[news]], flags[group[news]])
 
     def send_suffixes(docs_: pa.Table, replies: pa.Table) -> pa.Table:
         """Suffixes go to their bucket; removed spans and the phrases to be asked about, under the
         route -1 - block, to the last step."""
         if not docs_.num_rows:
             return _rows(np.zeros(0, np.int64), 0, [3, 8, 8], *[np.zeros(0, np.int64)] * 3)
-        b, me = Block(docs_, width), _key(docs_)
-        (trig, whole, low, flags), _ = _read(replies, [6, 8, 8, 1])
+        b, me = Block(docs_, width, shift), _key(docs_)
+        (phrase, low, flags), _ = _read(replies, [8, 8, 1])
         group, head, first = first_ids(b.id, b.trig, b.whole)
-        at = find((b.trig[head], b.whole[head]), (trig, whole))
+        at = find((phrase_key(b.trig[head], b.whole[head]),), (phrase,))
         known = at >= 0
         first[known] = np.minimum(first[known], low.view(np.int64)[at[known]])
         several = np.bincount(np.unique(b.trig[head], return_inverse=True)[1], minlength=1)
@@ -333,7 +342,7 @@ def dedup_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         return out.set_column(1, "block", pa.array([-1] * out.num_rows, pa.int64()))
 
     def remove(docs_: pa.Table, replies: pa.Table) -> pa.Table:
-        b = Block(docs_, width, parse=False)
+        b = Block(docs_, width, shift, parse=False)
         sizes, tags, blobs = (replies.column(c).to_pylist() for c in ("n", "block", "data"))
         pick = lambda test: [i for i in range(len(sizes)) if test(i)]
         read = lambda rows, widths: unpack([blobs[i] for i in rows], [abs(sizes[i]) for i in rows], widths)
@@ -353,7 +362,7 @@ def dedup_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             prefix = prefix_sums(b.buf[a:e])
             x = begin[here] - a
             owner, start = windows_of(x, x + long[here], x + place[here], flags[here], half)
-            trig = (span_hashes(prefix, x + place[here], x + place[here] + GRAM) >> _U(16)) & low_bits
+            trig = (span_hashes(prefix, x + place[here], x + place[here] + GRAM) >> _U(shift)) & low_bits
             asked.append((at[here[owner]], start + a, trig[owner], span_hashes(prefix, start, start + width)))
         if asked:
             at, start, trig, suffix = (np.concatenate(x) for x in zip(*asked, strict=True))
