@@ -36,7 +36,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = stored(simhash.with_fingerprints(keyed, "in_text", ["in_doc_id", "text_key"]), "stage-fps")
     named = stored(simhash.near_duplicates(rows, "in_doc_id"), "stage-groups")
     first = F.coalesce(F.col("in_doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    chosen = named.filter(first).groupBy("component_id", "in_doc_id").agg(F.min("text_key").alias("text_key"))
+    # neither a null id nor an id on two unrelated texts names a group; its root does
+    chosen = named.filter(first).groupBy("root", "in_doc_id").agg(F.min("text_key").alias("text_key"))
     known = stored(chosen.select("in_doc_id", "text_key").withColumn("keep", F.lit(True)), "stage-kept")
     kept = keyed.dropDuplicates(["in_doc_id", "text_key"]).join(known, keyed["in_doc_id"].eqNullSafe(known["in_doc_id"]) & (keyed["text_key"] == known["text_key"]), "left_semi")
     return kept.select(*back)

@@ -192,13 +192,14 @@ def links(fps: DataFrame, n: int, tile: int = TILE, rows_per_task: int = 1 << 15
 
 def near_duplicates(rows: DataFrame, id_col: str = "doc_id", fp: str = "fp") -> DataFrame:
     """component_id for each row of ``rows`` (id_col, fp; a stored table): the smallest id of its
-    component.  Rows with a null id take part; a component without any id gets null."""
+    component, and root, its smallest fingerprint, which alone tells components apart.  Rows
+    with a null id take part; a component without any id gets null."""
     fps = stored(rows.groupBy(fp).agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")).withColumnRenamed(fp, "fp"), "simhash-fps")
     n = fps.count()
     roots = components(links(fps, n), "simhash-cc")
     classes = stored(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-classes")
     lows = stored(classes.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("k")), "simhash-lows")
-    named = stored(lookup(classes, lows, "root", "k").select("fp", "component_id", "n"), "simhash-named")
+    named = stored(lookup(classes, lows, "root", "k").select("fp", "component_id", "root", "n"), "simhash-named")
     return lookup(rows.withColumnRenamed(fp, "fp"), named, "fp", "n").withColumnRenamed("fp", fp)
 
 
