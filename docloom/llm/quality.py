@@ -32,7 +32,7 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def repeats(ids: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a repeat of at least three words starts, and its greatest length.
 
-    ids: order-preserving word numbers (1 .. 2**21 - 1), docs: their documents, ascending.  A
+    ids: word numbers from 1 on, docs: their documents, ascending.  A
     repeat is a sequence that starts at two positions of one document, overlaps included.
     """
     n = len(ids)
@@ -44,11 +44,13 @@ def repeats(ids: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(n)
     second = np.where(at + 1 < end, padded[1 : n + 1], 0)
     third = np.where(at + 2 < end, padded[2 : n + 2], 0)
-    key = (ids << 42) | (second << 21) | third
-    order = np.lexsort((key, docs))
-    new = np.empty(n, dtype=bool)
+    # three words are one key if 63 bits hold them
+    keys = ((ids << 42) | (second << 21) | third,) if ids.max() < 1 << 21 else (third, second, ids)
+    order = np.lexsort((*keys, docs))
+    new = np.zeros(n, dtype=bool)
     new[0] = True
-    new[1:] = (key[order[1:]] != key[order[:-1]]) | (docs[order[1:]] != docs[order[:-1]])
+    for column in (*keys, docs):
+        new[1:] |= column[order[1:]] != column[order[:-1]]
     first = np.flatnonzero(new)
     sizes = np.diff(np.append(first, n))
     group = np.cumsum(new) - 1
@@ -131,8 +133,6 @@ def measure(buf: np.ndarray, offsets: np.ndarray, min_repeat: int = MIN_REPEAT,
     _, one = np.unique(line_key, return_index=True)
     n_dup_lines = counts_per_doc(line_doc, n) - counts_per_doc(line_doc[one], n)
     _, ids = np.unique(span_hashes(prefix, starts, ends), return_inverse=True)
-    if len(ids) and ids.max() >= (1 << 21) - 1:
-        raise ValueError("a run has more different words than 21 bits hold")
     at, length = repeats(ids.astype(np.int64) + 1, docs)
     three = np.minimum(length, 3)
     n_repeat_words = covered(at, three, docs, n)
@@ -151,8 +151,7 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
     repeat_words: words in repeats of min_repeat words or more; longest_repeat: words of the
     longest repeat (0 below three).  Defined cases: a null or empty text has no words, fails the
     base rule and is not kept; repeated rows are judged alike; an empty table gives an empty
-    one; input columns with a measure's name are replaced by it.  A text of more than two
-    million different words raises an error.
+    one; input columns with a measure's name are replaced by it.
     """
 
     def compute(buf, offsets):
