@@ -8,6 +8,8 @@ by that count and all copies are put into one global random order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,21 +29,25 @@ def uniform(seed: str, *cols: Column) -> Column:
 def poisson_count(u: Column, rate: Column) -> Column:
     """The least k with u < P(X <= k) for X of Poisson law with mean ``rate``.
 
-    Rates above 700, where exp(-rate) underflows, are split: k counts floor(rate) - 700 for
-    sure and the rest is drawn with mean 700 plus the fraction.  A rate of null or below 0
-    gives 0.
+    Above a rate of 700, where exp(-rate) underflows, the terms begin 12 deviations below the
+    mean (what is left out is below exp(-72)), the first by Stirling's series.  A rate of null
+    or below 0 gives 0.
     """
-    whole = F.greatest(F.floor(rate) - 700, F.lit(0)).cast("double")
-    mean = F.greatest(rate - whole, F.lit(0.0))
+    mean = F.greatest(rate, F.lit(0.0))
+    high = mean > 700
+    first = F.when(high, F.floor(mean - 12 * F.sqrt(mean))).otherwise(0).cast("int")
+    k = first.cast("double")
+    stirling = k - mean + k * F.log(mean / k) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+    least = F.exp(F.when(high, stirling).otherwise(-mean))
     last = F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int")
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("k"))
+    start = F.struct(least.alias("p"), least.alias("cdf"), first.alias("k"))
 
     def step(acc: Column, j: Column) -> Column:
         more = u >= acc["cdf"]
         p = acc["p"] * mean / j.cast("double")
         return F.when(more, F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), j.alias("k"))).otherwise(acc)
 
-    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), start, step, lambda acc: acc["k"]) + whole.cast("int"), F.lit(0))
+    return F.coalesce(F.aggregate(F.sequence(first + 1, F.greatest(last, F.lit(1))), start, step, lambda acc: acc["k"]), F.lit(0))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED, source: str = "source", id_col: str = "doc_id", partitions: int | None = None) -> DataFrame:
