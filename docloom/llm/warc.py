@@ -8,12 +8,14 @@ records that name it.
 Reading: the reader walks from member to member (or, in uncompressed archives, from version
 line to version line).  When a check fails - gzip data, header, length, trailing blank lines,
 block digest - it searches for the next position where a whole record passes its checks, goes
-on from there, and logs the bytes between as a quarantined gap.
+on from there, and logs the bytes between as a quarantined gap.  Inside a member the search is
+over its inflated bytes, as far as they inflate.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import zlib
 from collections import defaultdict
@@ -94,48 +96,77 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return record, end + 4, ""
 
 
-def _member(data: bytes, at: int) -> tuple[bytes | None, int, str]:
-    """The gzip member at ``at``, whole and with its checksum right, and where it ends."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What inflates of the gzip member at ``at``, where it ends, and what failed.  A member
+    that fails has no known end (``at``); its bytes up to the fault are given."""
     inflater = zlib.decompressobj(31)
-    out = []
+    out, pos, step, view = [], at, 1 << 16, memoryview(data)
     try:
-        view, pos = memoryview(data), at
         while not inflater.eof:
             if pos >= len(data):
-                return None, at, "gzip member is cut off"
-            out.append(inflater.decompress(view[pos : pos + (1 << 16)]))
-            pos += 1 << 16
+                return b"".join(out), at, "gzip member is cut off"
+            out.append(inflater.decompress(view[pos : pos + step]))
+            pos += step
     except zlib.error as e:
-        return None, at, f"gzip: {e}".split(":")[0] + " data fails"
+        # once more, at last byte by byte: nothing that inflates before the fault is lost
+        inflater = zlib.decompressobj(31)
+        out = [inflater.decompress(view[at:pos])]
+        with contextlib.suppress(zlib.error):
+            for i in range(pos, min(pos + step, len(data))):
+                out.append(inflater.decompress(view[i : i + 1]))
+        return b"".join(out), at, f"gzip: {e}".split(":")[0] + " data fails"
     return b"".join(out), min(pos, len(data)) - len(inflater.unused_data), ""
 
 
+def _walk(inside: bytes) -> tuple[list[dict], str]:
+    """The sound records of inflated bytes, and the first reason why others were left out."""
+    records, pos, why = [], 0, ""
+    while 0 <= pos < len(inside):
+        record, end, reason = parse_record(inside, pos)
+        if record is not None:
+            records.append(record)
+            pos = end
+        else:
+            why = why or reason
+            pos = inside.find(VERSION, pos + 1)
+    return records, why
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     """(offset, length, record, '') for each sound record and (offset, length, None, reason) for
-    each gap of quarantined bytes, in order; together they cover ``data``."""
-    at, bad, why = 0, -1, ""
+    each gap of quarantined bytes, in order; gaps and members (or records) cover ``data``.
+
+    Records of one gzip member have its range.  Within the inflated bytes the next version line
+    at which a whole record passes its checks is searched for as in uncompressed archives; a
+    member that lost records that way is also logged as a gap.  Of a member whose data fail, the
+    records that inflate whole before the fault are given, with the range up to the next place
+    where something sound starts, which is logged as a gap as well; if all of its records pass
+    their checks, so that none shows the fault, the last one is held back.
+    """
+    at, bad, why, early, given = 0, -1, "", [], set()
     while at < len(data):
         records, end, reason = [], at, "no record starts here"
         if data.startswith(GZIP, at):
             inside, end, reason = _member(data, at)
-            if inside is not None:
-                pos = 0
-                while pos < len(inside):
-                    record, pos_end, reason = parse_record(inside, pos)
-                    if record is None:
-                        break
-                    records.append(record)
-                    pos = pos_end
+            records, lost = _walk(inside)
+            if end == at:  # the member fails; look for the next after its start
+                early += [(at, r) for r in (records if lost else records[:-1])]
+                records = []
+            else:
+                reason, given = lost, set()
         elif data.startswith(VERSION, at):
             record, end, reason = parse_record(data, at)
             records = [record] if record else []
         if records:
             if bad >= 0:
+                yield from ((x, at - x, r, "") for x, r in early)
                 yield bad, at - bad, None, why
-                bad = -1
+                given |= {tuple(r.values()) for _, r in early}
+                bad, early = -1, []
             for record in records:
-                yield at, end - at, record, ""
-            if reason:  # the rest of a member whose first records are sound
+                again = tuple(record.values()) in given  # a member's uncompressed block, seen from outside
+                yield at, end - at, *((None, "given with its member") if again else (record, ""))
+            if reason:  # other records of the member are not sound
                 yield at, end - at, None, reason
             at = end
             continue
@@ -144,6 +175,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
         nexts = [x for x in (data.find(GZIP, at + 1), data.find(VERSION, at + 1)) if x >= 0]
         at = min(nexts, default=len(data))
     if bad >= 0:
+        yield from ((x, len(data) - x, r, "") for x, r in early)
         yield bad, len(data) - bad, None, why
 
 
