@@ -65,17 +65,20 @@ def gate(gold: DataFrame, arms: DataFrame) -> DataFrame:
     return every.join(got, ["arm", "query"], "left").select("arm", "query", "need", F.coalesce("to_read", F.lit(0)).alias("to_read"), F.bround(F.coalesce("found", F.lit(0)) / F.col("need"), 4).alias("recall"))
 
 
-def golden_status(results: DataFrame, expected: DataFrame) -> DataFrame:
+def golden_status(results: DataFrame, expected: DataFrame, files: DataFrame) -> DataFrame:
     """pass, fail, unscored or skipped for each golden query, with recall of its expected files.
-    expected: query, tier, expected_count, files (array or null), skip; results: query, file_key."""
-    got = results.groupBy("query").agg(F.collect_set("file_key").alias("got"))
-    rows = expected.join(got, "query", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
-    hit = F.size(F.array_intersect("files", "got"))
-    count_ok = F.col("expected_count").isNull() | (F.size("got") == F.col("expected_count"))
-    files_ok = F.col("files").isNull() | (hit == F.size("files"))
-    nothing = F.col("files").isNull() & F.col("expected_count").isNull()
+    expected: query, expected_count, skip; files: query, file_key of the expected files, without
+    a row for a query that names none; results: query, file_key."""
+    got = results.distinct()
+    sizes = got.groupBy("query").agg(F.count("file_key").alias("_n"))
+    found = files.join(got.withColumn("_g", F.lit(True)), ["query", "file_key"], "left")
+    hits = found.groupBy("query").agg(F.count(F.lit(1)).alias("_want"), F.count_distinct(F.when(F.col("_g"), F.col("file_key"))).alias("_hit"))
+    rows = expected.join(sizes, "query", "left").join(hits, "query", "left").withColumn("_n", F.coalesce("_n", F.lit(0)).cast("int"))
+    count_ok = F.col("expected_count").isNull() | (F.col("_n") == F.col("expected_count"))
+    files_ok = F.col("_want").isNull() | (F.col("_hit") == F.col("_want"))
+    nothing = F.col("_want").isNull() & F.col("expected_count").isNull()
     status = F.when(F.col("skip"), "skipped").when(nothing, "unscored").when(count_ok & files_ok, "pass").otherwise("fail")
-    return rows.select("query", F.size("got").alias("n"), F.when(F.size("files") > 0, F.bround(hit / F.size("files"), 4)).alias("recall"), status.alias("status"))
+    return rows.select("query", F.col("_n").alias("n"), F.bround(F.col("_hit") / F.col("_want"), 4).alias("recall"), status.alias("status"))
 
 
 def extraction_errors(gold: DataFrame, found: DataFrame) -> DataFrame:

@@ -68,9 +68,13 @@ def clusters(candidates: DataFrame, key: Column, files: DataFrame, min_count: in
     by rows, documents, key."""
     meta = files.select(F.col("file_key").alias("evidence_file_key"), "ctype", "lang")
     rows = candidates.withColumn("cluster", key).join(meta, "evidence_file_key", "left")
+    # a rank below a constant is taken in each task before rows meet
+    order = W.partitionBy("cluster").orderBy("evidence_file_key", "candidate_id")
+    top = rows.select("cluster", "evidence_file_key", "candidate_id").withColumn("_r", F.row_number().over(order)).filter("_r <= 5")
     ids = F.array_sort(F.collect_list(F.struct("evidence_file_key", "candidate_id")))
-    out = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("evidence_file_key").alias("documents"), F.count_distinct("ctype").alias("types"), F.count_distinct("lang").alias("langs"), ids.alias("ids"))
-    return out.filter(F.col("n") >= min_count).select("cluster", "n", "documents", "types", "langs", F.array_join(F.transform(F.slice("ids", 1, 5), lambda x: x["evidence_file_key"]), "|").alias("evidence"))
+    top = top.groupBy(F.col("cluster").alias("_c")).agg(F.array_join(F.transform(ids, lambda x: x["evidence_file_key"]), "|").alias("evidence"))
+    out = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("evidence_file_key").alias("documents"), F.count_distinct("ctype").alias("types"), F.count_distinct("lang").alias("langs"))
+    return out.filter(F.col("n") >= min_count).join(top, F.col("cluster").eqNullSafe(F.col("_c"))).select("cluster", "n", "documents", "types", "langs", "evidence")
 
 
 def recurrence(candidates: DataFrame, key: Column) -> DataFrame:
