@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 POLARITIES = ["affirmative", "negative", "none_exist", "not_applicable"]
-REVIEW = ["approved", "pending", "rejected"]
+REVIEW = ["pending", "approved", "needs_review", "rejected"]
 
 
 def issue(rows: DataFrame, cond: Column | str, code: str, detail: Column, key: list[str]) -> DataFrame:

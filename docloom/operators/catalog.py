@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import matches
 
-#: Words in a file name that speak for a final version.
-FINAL_WORDS = ("signed", "final", "executed", "execution")
+# Words in version hint or path that speak for a final version, in search results
+# and (fewer) in statistics.
+FINAL_WORDS = ("final", "signed", "clean", "체결", "서명")
+STATISTICS_FINAL_WORDS = ("final", "signed", "clean")
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
@@ -100,8 +102,10 @@ def searchable(files: DataFrame, ctype: str | None = None, lang: str | None = No
 
 
 def representative_order(final_words=FINAL_WORDS) -> list[Column]:
-    """Executed before unknown before draft, final-looking names, short paths, name, key."""
-    return [F.coalesce(F.col("is_draft"), F.lit(0)).asc(), any_word(F.col("filename"), final_words).desc(), F.length("path").asc(), F.col("filename").asc(), F.col("file_key").asc()]
+    """Drafts last, then final-looking version hints or paths, short paths, name, key."""
+    said = F.concat_ws(" ", F.coalesce("version_hint", F.lit("")), F.coalesce("path", F.lit("")))
+    draft = F.coalesce(F.col("is_draft") == 1, F.lit(False))
+    return [draft.asc(), any_word(said, final_words).desc(), F.length(F.coalesce("path", F.lit(""))).asc(), F.coalesce("filename", F.lit("")).asc(), F.col("file_key").asc()]
 
 
 def representatives(files: DataFrame, leading: list[Column] | None = None, also: list[str] | None = None, final_words=FINAL_WORDS) -> DataFrame:

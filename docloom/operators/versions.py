@@ -6,55 +6,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LABELS = {"execution": "Execution version", "bidding": "Bidding form", "buyer_draft": "Buyer draft", "seller_draft": "Seller draft", "buyer_markup": "Buyer markup", "seller_markup": "Seller markup", "markup_unknown": "Markup", "draft_unknown": "Draft", "unknown": "Unknown"}
-#: (token, strong) by what it says.
-TOKENS = {
-    "execution": [("executed", True), ("signed", True), ("execution", True), ("final", False)],
-    "bidding": [("bidding", True), ("bid form", True)],
-    "buyer": [("buyer", True), ("purchaser", True)],
-    "seller": [("seller", True)],
-    "markup": [("markup", True), ("redline", True), ("comments", False)],
-    "draft": [("draft", True)],
+LABELS = {"execution": "Execution version", "bidding": "Bidding form", "buyer_draft": "Buyer draft", "seller_draft": "Seller draft", "buyer_markup": "Buyer markup", "seller_markup": "Seller markup", "buyer_ver": "Buyer version", "seller_ver": "Seller version", "markup_unknown": "Markup", "draft_unknown": "Draft", "unknown": "Unknown"}
+
+# Tokens in a lower-cased file name.  Strong (explicit) ones suffice alone.
+EXECUTION_STRONG = ["체결", "execution", "signed", "signing", "exec_", "_exec", "최종본", "definitive"]
+EXECUTION_WEAK = ["final", "fnl"]
+BIDDING_STRONG = ["bidding"]
+BIDDING_WEAK = ["제출본"]
+MARKUP_STRONG = ["markup", "mark-up", "mark up", "redline", "수정", "코멘트", "comment"]
+MARKUP_WEAK = ["1st", "2nd", "3rd"]
+DRAFT_STRONG = ["draft", "초안"]
+DRAFT_WEAK = ["_v1", "내부", "안)"]
+BUYER = ["buyer", "매수인"]
+SELLER = ["seller", "매도인"]
+# Roles that a request for the key also touches in part.
+PARTIAL = {
+    "buyer_draft": ["draft_unknown", "buyer_ver"],
+    "seller_draft": ["draft_unknown", "seller_ver"],
+    "buyer_markup": ["markup_unknown", "buyer_ver"],
+    "seller_markup": ["markup_unknown", "seller_ver"],
+    "buyer_ver": ["draft_unknown", "markup_unknown"],
+    "seller_ver": ["draft_unknown", "markup_unknown"],
+    "draft_unknown": ["buyer_ver", "seller_ver"],
+    "markup_unknown": ["buyer_ver", "seller_ver"],
 }
-#: Roles that a request for the key also touches in part.
-PARTIAL = {"buyer_markup": ["markup_unknown"], "seller_markup": ["markup_unknown"], "buyer_draft": ["draft_unknown"], "seller_draft": ["draft_unknown"]}
-TIERS = {"execution": 1, "buyer_markup": 2, "seller_markup": 2, "markup_unknown": 3, "buyer_draft": 4, "seller_draft": 4, "draft_unknown": 5, "bidding": 6, "unknown": 7}
+# Reading priority of a role, the least first.
+PRIORITY = {"execution": 0, "seller_draft": 2, "buyer_draft": 2, "draft_unknown": 2, "seller_markup": 3, "buyer_markup": 3, "markup_unknown": 3, "bidding": 3, "buyer_ver": 4, "seller_ver": 4, "unknown": 5}
 
 
-def _found(name: Column, kind: str) -> Column:
-    words = F.array(*[F.lit(t) for t, _ in TOKENS[kind]])
-    return F.filter(words, lambda t: F.contains(name, t))
-
-
-def _strong(name: Column, kind: str) -> Column:
-    out = F.lit(False)
-    for token, strong in TOKENS[kind]:
-        if strong:
-            out = out | F.contains(name, F.lit(token))
-    return out
+def _found(name: Column, tokens: list[str]) -> Column:
+    return F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(name, t))
 
 
 def classify(filename: Column) -> Column:
-    """struct(role, confidence, basis): execution before bidding before party and stage before
-    party before stage.  A strong token alone is high, a weak one low; tokens that speak for
-    another role as well lower the confidence by one step."""
-    name = F.lower(filename)
-    has = {k: F.size(_found(name, k)) > 0 for k in TOKENS}
-    party = F.when(has["buyer"] & ~has["seller"], "buyer").when(has["seller"] & ~has["buyer"], "seller")
-    stage = F.when(has["markup"], "markup").when(has["draft"], "draft")
-    role = (
-        F.when(has["execution"], "execution")
-        .when(has["bidding"], "bidding")
-        .when(party.isNotNull() & stage.isNotNull(), F.concat_ws("_", party, stage))
-        .when(party.isNotNull(), F.concat(party, F.lit("_draft")))
-        .when(stage.isNotNull(), F.concat(stage, F.lit("_unknown")))
-        .otherwise("unknown")
+    """struct(role, confidence, basis): execution, then bidding, then party and stage.
+
+    A party without a stage is a version of unknown stage (``buyer_ver``), a stage without a
+    party ``markup_unknown`` or ``draft_unknown``; markup goes before draft, the buyer before
+    the seller.  Explicit tokens are worth more than weak ones; a stage token in an executed
+    file's name and two named parties lower the confidence by one step.  basis: the tokens
+    that spoke, joined by '|'; a null name is unknown.
+    """
+    name = F.lower(F.coalesce(filename, F.lit("")))
+    found = {k: _found(name, globals()[k]) for k in ("EXECUTION_STRONG", "EXECUTION_WEAK", "BIDDING_STRONG", "BIDDING_WEAK", "MARKUP_STRONG", "MARKUP_WEAK", "DRAFT_STRONG", "DRAFT_WEAK", "BUYER", "SELLER")}
+    has = {k: F.size(v) > 0 for k, v in found.items()}
+    executed, bidding = has["EXECUTION_STRONG"] | has["EXECUTION_WEAK"], has["BIDDING_STRONG"] | has["BIDDING_WEAK"]
+    markup, draft = has["MARKUP_STRONG"] | has["MARKUP_WEAK"], has["DRAFT_STRONG"] | has["DRAFT_WEAK"]
+    party = F.when(has["BUYER"], "buyer").when(has["SELLER"], "seller")
+    two = has["BUYER"] & has["SELLER"]
+    stage = F.when(markup, "markup").when(draft, "draft")
+    explicit = F.when(markup, has["MARKUP_STRONG"]).otherwise(has["DRAFT_STRONG"])
+    names = F.concat(found["BUYER"], found["SELLER"])
+    stages = F.when(markup, F.concat(found["MARKUP_STRONG"], found["MARKUP_WEAK"])).otherwise(F.concat(found["DRAFT_STRONG"], found["DRAFT_WEAK"]))
+    level = lambda steps: F.element_at(F.array(F.lit("high"), F.lit("med"), F.lit("low")), F.lit(1) + steps)
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+
+    def case(role: Column, confidence: Column, basis: Column) -> Column:
+        return F.struct(role.alias("role"), confidence.alias("confidence"), F.array_join(basis, "|").alias("basis"))
+
+    return (
+        F.when(executed, case(F.lit("execution"), level(one(~has["EXECUTION_STRONG"]) + one(markup | draft)), F.concat(found["EXECUTION_STRONG"], found["EXECUTION_WEAK"])))
+        .when(bidding, case(F.lit("bidding"), level(one(~has["BIDDING_STRONG"])), F.concat(found["BIDDING_STRONG"], found["BIDDING_WEAK"])))
+        .when(party.isNotNull() & stage.isNotNull(), case(F.concat_ws("_", party, stage), level(one(~explicit) + one(two)), F.concat(names, stages)))
+        .when(party.isNotNull(), case(F.concat(party, F.lit("_ver")), level(one(two) + 1), names))
+        .when(stage.isNotNull(), case(F.concat(stage, F.lit("_unknown")), level(one(~explicit) + 1), stages))
+        .otherwise(case(F.lit("unknown"), F.lit("low"), F.array().cast("array<string>")))
     )
-    conflict = (has["execution"] & (has["draft"] | has["markup"] | has["bidding"])) | (has["buyer"] & has["seller"])
-    strong = F.when(has["execution"], _strong(name, "execution")).when(has["bidding"], _strong(name, "bidding")).when(party.isNotNull() & stage.isNotNull(), True).otherwise(False)
-    level = F.when(role == "unknown", F.lit(None)).when(strong & ~conflict, "high").when(strong | (~conflict & (party.isNotNull() | has["markup"])), "med").otherwise("low")
-    basis = F.array_join(F.concat(*[_found(name, k) for k in TOKENS]), "|")
-    return F.struct(role.alias("role"), level.alias("confidence"), basis.alias("basis"))
 
 
 def markup_round(filename: Column) -> Column:
@@ -140,6 +157,6 @@ def project_key(path: Column, markers: list[str], agreements: list[str]) -> Colu
 
 def tiers(rows: DataFrame) -> DataFrame:
     """Tier 1 for each project's best version, 2 for the others."""
-    rank = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.coalesce("version_role", F.lit("unknown"))]
+    rank = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.coalesce("version_role", F.lit("unknown"))]
     w = W.partitionBy("ctype", "lang", "project").orderBy("_rank", "file_key")
     return rows.withColumn("_rank", F.coalesce(rank, F.lit(9))).withColumn("tier", F.when(F.row_number().over(w) == 1, 1).otherwise(2)).drop("_rank")

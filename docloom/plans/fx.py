@@ -40,8 +40,8 @@ VIEWS = {
  f.file_key||'-'||p.para||'-'||r.ord AS item_ref, p.content AS verbatim, p.para AS loc_start, CAST(p.para+(f.doc_id%3) AS INT) AS loc_end,
  CASE (f.doc_id+p.para)%4 WHEN 0 THEN 'affirmative' WHEN 1 THEN 'negative' WHEN 2 THEN 'none_exist' ELSE 'not_applicable' END AS statement_polarity,
  CASE WHEN f.doc_id%20=0 THEN 'stale' ELSE f.content_hash END AS txt_hash,
- CASE WHEN (f.doc_id+p.para)%9=0 THEN 'pending' ELSE 'approved' END AS review_status
- FROM fx_files f JOIN fx_paragraphs p USING(file_key) JOIN fx_item_rule r ON contains(lower(p.content),r.needle) WHERE p.para<=6""",
+ CASE WHEN (f.doc_id+p.para)%9=0 THEN 'pending' WHEN (f.doc_id+p.para)%9=4 THEN 'needs_review' ELSE 'approved' END AS review_status
+ FROM fx_files f JOIN fx_paragraphs p USING(file_key) JOIN fx_item_rule r ON contains(lower(p.content),r.needle)""",
     "fx_family": """SELECT * FROM (VALUES (0,'RW'),(1,'CP'),(2,'COV'),(3,'DEF'),(4,'PAY'),(5,'REM')) t(k,family)""",
     "fx_document_coverage": """SELECT f.file_key, g.family,
  CASE (f.doc_id+g.k)%5 WHEN 0 THEN 'partial' WHEN 1 THEN 'not_evaluated' ELSE 'complete' END AS body_status,
@@ -53,10 +53,10 @@ VIEWS = {
  CASE WHEN f.doc_id%2=1 THEN substr(sha256('doc'||(f.doc_id+1)),1,16) END AS storage_file_key,
  CASE WHEN f.doc_id%13=0 THEN 'stale' WHEN f.doc_id%2=1 THEN coalesce(s.content_hash,'') ELSE f.content_hash END AS txt_hash
  FROM fx_files f JOIN fx_family g ON true LEFT JOIN fx_files s ON s.doc_id=f.doc_id+1 WHERE f.status='ok' AND f.doc_id%3<>0""",
-    "fx_candidate": """SELECT f.doc_id AS candidate_id, f.file_key AS evidence_file_key, g.family,
+    "fx_candidate": """SELECT f.doc_id*1000000+p.para AS candidate_id, f.file_key AS evidence_file_key, g.family,
  CASE WHEN f.doc_id%7=0 THEN g.family||'.A' ELSE g.family END AS recommended_parent_id, p.content AS verbatim, left(p.content,12) AS proposed_ko,
  p.para AS loc_start, 'pending' AS status, 1 AS document_count
- FROM fx_files f JOIN fx_paragraphs p USING(file_key) JOIN fx_family g ON g.k=f.doc_id%6 WHERE p.para=2""",
+ FROM fx_files f JOIN fx_paragraphs p USING(file_key) JOIN fx_family g ON g.k=f.doc_id%6""",
     "fx_doc_meta": """SELECT f.file_key, CASE WHEN f.doc_id%4=1 THEN 2 ELSE 3 END AS meta_schema_version,
  CASE WHEN f.doc_id%19=0 THEN 'stale' ELSE f.content_hash END AS txt_hash,
  CASE f.doc_id%3 WHEN 0 THEN 'high' WHEN 1 THEN 'med' ELSE 'low' END AS confidence,

@@ -105,12 +105,12 @@ def duplicate_groups(c):
     return c.files.select("file_key", "dup_group")
 
 
-_REP = "coalesce(is_draft, 0), CASE WHEN contains(lower(filename),'signed') OR contains(lower(filename),'final') OR contains(lower(filename),'executed') OR contains(lower(filename),'execution') THEN 0 ELSE 1 END, length(path), filename, file_key"
+_REP = "CASE WHEN is_draft = 1 THEN 1 ELSE 0 END, CASE WHEN regexp_matches(lower(coalesce(version_hint, '') || ' ' || path), 'final|signed|clean') THEN 0 ELSE 1 END, length(path), filename, file_key"
 
 
 @query("representatives_by_status", f"SELECT file_key, status, dup_group FROM (SELECT *, row_number() OVER (PARTITION BY dup_group, status ORDER BY {_REP}) AS r FROM fx_files) WHERE r = 1")
 def representatives_by_status(c):
-    return cat.representatives(c.files, also=["status"]).select("file_key", "status", "dup_group")
+    return cat.representatives(c.files, also=["status"], final_words=cat.STATISTICS_FINAL_WORDS).select("file_key", "status", "dup_group")
 
 
 @query("duplicate_members", "SELECT a.file_key, count(*)::BIGINT AS members, string_agg(b.file_key, '|' ORDER BY b.file_key) AS others FROM fx_files a JOIN fx_files b ON a.dup_group = b.dup_group AND a.file_key <> b.file_key GROUP BY a.file_key")

@@ -91,10 +91,10 @@ def absent_summary(c):
     return absent_clauses(c).groupBy("answer").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("compared_clauses", f"""WITH {COVERAGE_SQL}, k AS (SELECT file_key, content_hash FROM fx_files WHERE doc_id % 10 = 0), i AS (SELECT k.file_key, bool_or(coalesce(txt_hash,'') = coalesce(content_hash,'')) AS cur, count(*) AS items FROM fx_clause_item i JOIN k USING (file_key) WHERE {_sub('RW')} GROUP BY 1)
+@query("compared_clauses", f"""WITH {COVERAGE_SQL}, k AS (SELECT file_key, content_hash FROM fx_files WHERE doc_id % 100 = 0), i AS (SELECT k.file_key, bool_or(coalesce(txt_hash,'') = coalesce(content_hash,'')) AS cur, count(*) AS items FROM fx_clause_item i JOIN k USING (file_key) WHERE {_sub('RW')} GROUP BY 1)
  SELECT k.file_key, coalesce(items, 0)::BIGINT AS items, CASE WHEN cur THEN 'confirmed_present' WHEN items > 0 THEN 'needs_review' WHEN state = 'complete' THEN 'confirmed_absent' ELSE 'needs_review' END AS answer FROM k LEFT JOIN i USING (file_key) LEFT JOIN covstate s ON s.file_key = k.file_key AND s.family = 'RW'""")
 def compared_clauses(c):
-    return C.compare(c.files, c.items, c.nodes, coverage(c), "RW", c.files.filter("doc_id % 10 = 0").select("file_key"))
+    return C.compare(c.files, c.items, c.nodes, coverage(c), "RW", c.files.filter("doc_id % 100 = 0").select("file_key"))
 
 
 @query("comparison_picks", f"SELECT answer, min(file_key) AS file_key FROM ({_absence('CP', 'false')}) GROUP BY answer")

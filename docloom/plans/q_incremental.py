@@ -37,7 +37,7 @@ def absorbed_items(c):
     return L.absorbed_items(L.admit(c.candidates, F.concat("family", F.lit(":"), T.signature(F.col("proposed_ko")))))
 
 
-_PLAN = "plan AS (SELECT candidate_id + CASE WHEN candidate_id % 50 = 7 THEN 1000000 ELSE 0 END AS candidate_id, CASE candidate_id % 3 WHEN 0 THEN 'merge' WHEN 1 THEN 'promote' ELSE 'reject' END AS action, CASE candidate_id % 4 WHEN 0 THEN family || '.A' WHEN 1 THEN 'RW' WHEN 2 THEN family || '.NEW' ELSE 'CP.A' END AS target FROM fx_candidate UNION ALL SELECT candidate_id, 'reject', 'RW' FROM fx_candidate WHERE candidate_id % 30 = 0)"
+_PLAN = "plan AS (SELECT candidate_id + CASE WHEN candidate_id % 50 = 7 THEN 1000000000000 ELSE 0 END AS candidate_id, CASE candidate_id % 3 WHEN 0 THEN 'merge' WHEN 1 THEN 'promote' ELSE 'reject' END AS action, CASE candidate_id % 4 WHEN 0 THEN family || '.A' WHEN 1 THEN 'RW' WHEN 2 THEN family || '.NEW' ELSE 'CP.A' END AS target FROM fx_candidate UNION ALL SELECT candidate_id, 'reject', 'RW' FROM fx_candidate WHERE candidate_id % 30 = 0)"
 _OUT = f"""{_PLAN}, tw AS (SELECT candidate_id, count(DISTINCT action) AS n FROM plan GROUP BY 1), outc AS (SELECT p.candidate_id, action, target, CASE WHEN k.family IS NULL THEN 'unknown_candidate' WHEN k.status <> 'pending' THEN 'decided' WHEN tw.n > 1 THEN 'two_actions' WHEN action = 'merge' AND nd.family IS NULL THEN 'unknown_target' WHEN action = 'merge' AND nd.family <> k.family THEN 'foreign_target' WHEN action = 'promote' AND nd.family IS NOT NULL THEN 'target_exists' ELSE 'applied' END AS outcome
  FROM plan p LEFT JOIN fx_candidate k USING (candidate_id) LEFT JOIN fx_node nd ON nd.taxonomy_id = target JOIN tw ON tw.candidate_id = p.candidate_id)"""
 
@@ -46,7 +46,7 @@ def _plan(c):
     k = F.col("candidate_id")
     action = F.when(k % 3 == 0, "merge").when(k % 3 == 1, "promote").otherwise("reject")
     target = F.when(k % 4 == 0, F.concat("family", F.lit(".A"))).when(k % 4 == 1, "RW").when(k % 4 == 2, F.concat("family", F.lit(".NEW"))).otherwise("CP.A")
-    first = c.candidates.select((k + F.when(k % 50 == 7, 1000000).otherwise(0)).alias("candidate_id"), action.alias("action"), target.alias("target"))
+    first = c.candidates.select((k + F.when(k % 50 == 7, 1000000000000).otherwise(0)).alias("candidate_id"), action.alias("action"), target.alias("target"))
     return first.union(c.candidates.filter("candidate_id % 30 = 0").select("candidate_id", F.lit("reject"), F.lit("RW")))
 
 

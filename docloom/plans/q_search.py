@@ -18,7 +18,7 @@ df AS (SELECT term, count(*)::DOUBLE AS n_hits FROM hit GROUP BY term),
 scored AS (SELECT term, file_key, para, content, CASE WHEN length(term) >= 3 THEN round(-(greatest(ln((n - n_hits + 0.5) / (n_hits + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avglen))), 9) ELSE 0 END AS score FROM hit JOIN df USING (term), fx_len)"""
 _RANKS = """ranked AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score, file_key, para) AS rank FROM scored),
 best AS (SELECT kw, source, file_key, min(rank) AS rank FROM ranked JOIN fx_exp USING (term) GROUP BY ALL)"""
-_REP = "coalesce(is_draft, 0), CASE WHEN contains(lower(filename),'signed') OR contains(lower(filename),'final') OR contains(lower(filename),'executed') OR contains(lower(filename),'execution') THEN 0 ELSE 1 END, length(path), filename, file_key"
+_REP = "CASE WHEN is_draft = 1 THEN 1 ELSE 0 END, CASE WHEN regexp_matches(lower(coalesce(version_hint, '') || ' ' || path), 'final|signed|clean|체결|서명') THEN 0 ELSE 1 END, length(path), filename, file_key"
 
 
 def keywords(c):

@@ -7,13 +7,41 @@ from pyspark.sql import functions as F
 from docloom.operators import versions as V
 from docloom.plans.registry import query
 
-_H = {k: "(" + " OR ".join(f"contains(n, '{t}')" for t, _ in v) + ")" for k, v in V.TOKENS.items()}
-_CLASS = f"""h AS (SELECT file_key, filename, {", ".join(f"{v} AS {k}" for k, v in _H.items())}, contains(n,'executed') OR contains(n,'signed') OR contains(n,'execution') AS strong_x,
-  array_to_string(list_filter({[t for v in V.TOKENS.values() for t, _ in v]}, lambda t: contains(n, t)), '|') AS basis FROM (SELECT *, lower(filename) AS n FROM fx_files)),
-p AS (SELECT *, CASE WHEN buyer AND NOT seller THEN 'buyer' WHEN seller AND NOT buyer THEN 'seller' END AS party, CASE WHEN markup THEN 'markup' WHEN draft THEN 'draft' END AS stage FROM h),
-r AS (SELECT *, CASE WHEN execution THEN 'execution' WHEN bidding THEN 'bidding' WHEN party IS NOT NULL AND stage IS NOT NULL THEN party || '_' || stage WHEN party IS NOT NULL THEN party || '_draft' WHEN stage IS NOT NULL THEN stage || '_unknown' ELSE 'unknown' END AS role,
-  (execution AND (draft OR markup OR bidding)) OR (buyer AND seller) AS conflict, CASE WHEN execution THEN strong_x WHEN bidding THEN true WHEN party IS NOT NULL AND stage IS NOT NULL THEN true ELSE false END AS strong FROM p),
-cls AS (SELECT file_key, role, CASE WHEN role = 'unknown' THEN NULL WHEN strong AND NOT conflict THEN 'high' WHEN strong OR (NOT conflict AND (party IS NOT NULL OR markup)) THEN 'med' ELSE 'low' END AS confidence, basis FROM r)"""
+# File names of every kind: each rule, both parties, ordinals alone, weak tokens, none.
+_STEMS = ["SPA_signed_", "SPA_signing draft ", "SHA_final_", "SHA_final_redline_", "bid_BIDDING_", "SPA_buyer_", "SPA_Seller_v1_", "SPA_buyer seller draft_", "SPA_buyer vs seller_", "SHA_1st_", "SHA_2nd draft_", "SPA_buyer 3rd_", "SSA_mark-up_", "SSA_draft_", "MOU_v1_", "MOU_clean_", "notes_", "SPA_매수인 초안_", "SHA_체결_", "ATA_제출본_"]
+
+
+def _named(c):
+    stem = F.element_at(F.array(*[F.lit(x) for x in _STEMS]), (F.col("doc_id") % len(_STEMS) + 1).cast("int"))
+    return c.files.select("file_key", F.concat(stem, F.col("doc_id").cast("string"), F.lit(".docx")).alias("filename"))
+
+
+def _hits(**kinds):
+    return ", ".join(f"list_filter({tokens}, lambda t: contains(n, t)) AS {k}" for k, tokens in kinds.items())
+
+
+_KINDS = _hits(
+    xs=["체결", "execution", "signed", "signing", "exec_", "_exec", "최종본", "definitive"],
+    xw=["final", "fnl"],
+    bs=["bidding"],
+    bw=["제출본"],
+    ms=["markup", "mark-up", "mark up", "redline", "수정", "코멘트", "comment"],
+    mw=["1st", "2nd", "3rd"],
+    ds=["draft", "초안"],
+    dw=["_v1", "내부", "안)"],
+    pb=["buyer", "매수인"],
+    ps=["seller", "매도인"],
+)
+_CLASS = f"""h AS (SELECT file_key, {_KINDS} FROM (SELECT file_key, lower({_STEMS}[doc_id % {len(_STEMS)} + 1] || doc_id || '.docx') AS n FROM fx_files)),
+s AS (SELECT *, len(ms || mw || ds || dw) > 0 AS staged, CASE WHEN len(pb) > 0 THEN 'buyer' WHEN len(ps) > 0 THEN 'seller' END AS party, len(pb) > 0 AND len(ps) > 0 AS two,
+  CASE WHEN len(ms || mw) > 0 THEN 'markup' WHEN len(ds || dw) > 0 THEN 'draft' END AS stage, CASE WHEN len(ms || mw) > 0 THEN len(ms) > 0 ELSE len(ds) > 0 END AS explicit, CASE WHEN len(ms || mw) > 0 THEN ms || mw ELSE ds || dw END AS said FROM h),
+cls AS (SELECT file_key,
+  CASE WHEN len(xs || xw) > 0 THEN 'execution' WHEN len(bs || bw) > 0 THEN 'bidding' WHEN party IS NOT NULL AND stage IS NOT NULL THEN party || '_' || stage WHEN party IS NOT NULL THEN party || '_ver' WHEN stage IS NOT NULL THEN stage || '_unknown' ELSE 'unknown' END AS role,
+  CASE WHEN len(xs) > 0 THEN CASE WHEN staged THEN 'med' ELSE 'high' END WHEN len(xw) > 0 THEN CASE WHEN staged THEN 'low' ELSE 'med' END
+    WHEN len(bs) > 0 THEN 'high' WHEN len(bw) > 0 THEN 'med'
+    WHEN party IS NOT NULL AND stage IS NOT NULL THEN CASE WHEN explicit AND NOT two THEN 'high' WHEN explicit OR NOT two THEN 'med' ELSE 'low' END
+    WHEN party IS NOT NULL THEN CASE WHEN two THEN 'low' ELSE 'med' END WHEN stage IS NOT NULL AND explicit THEN 'med' ELSE 'low' END AS confidence,
+  array_to_string(CASE WHEN len(xs || xw) > 0 THEN xs || xw WHEN len(bs || bw) > 0 THEN bs || bw WHEN party IS NOT NULL AND stage IS NOT NULL THEN pb || ps || said WHEN party IS NOT NULL THEN pb || ps ELSE said END, '|') AS basis FROM s)"""
 
 
 def _project(c):
@@ -26,12 +54,12 @@ _PROJ = "SELECT * REPLACE ('any' AS ctype), folder || ':' || (doc_id % 5) AS pro
 
 @query("version_roles", f"WITH {_CLASS} SELECT file_key, role, confidence, basis FROM cls")
 def version_roles(c):
-    return c.files.select("file_key", V.classify(F.col("filename")).alias("v")).select("file_key", "v.*")
+    return _named(c).select("file_key", V.classify(F.col("filename")).alias("v")).select("file_key", "v.*")
 
 
 @query("version_distribution", f"WITH {_CLASS} SELECT 'role' AS kind, role AS value, count(*)::BIGINT AS n FROM cls GROUP BY ALL UNION ALL SELECT 'confidence', coalesce(confidence, 'unrated'), count(*) FROM cls GROUP BY ALL")
 def version_distribution(c):
-    rows = c.files.select(V.classify(F.col("filename")).alias("v")).select("v.*")
+    rows = _named(c).select(V.classify(F.col("filename")).alias("v")).select("v.*")
     pairs = F.explode(F.array(F.struct(F.lit("role").alias("kind"), F.col("role").alias("value")), F.struct(F.lit("confidence").alias("kind"), F.coalesce("confidence", F.lit("unrated")).alias("value"))))
     return rows.select(pairs.alias("p")).groupBy("p.kind", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -58,7 +86,7 @@ def version_labels(c):
     return V.annotate(c.files).select("file_key", "label", "confidence", "review_required", "summary")
 
 
-_WHY = "CASE WHEN version_role IN ('execution','buyer_markup') THEN NULL WHEN version_role = 'unknown' THEN 'version_unknown' WHEN version_role = 'markup_unknown' THEN 'partial_version' WHEN coalesce(version_confidence, 'unrated') IN ('low','unrated') THEN 'low_confidence' END"
+_WHY = "CASE WHEN version_role IN ('execution','buyer_markup') THEN NULL WHEN version_role = 'unknown' THEN 'version_unknown' WHEN version_role IN ('markup_unknown', 'buyer_ver') THEN 'partial_version' WHEN coalesce(version_confidence, 'unrated') IN ('low','unrated') THEN 'low_confidence' END"
 
 
 @query("version_notice", f"""SELECT count(*) FILTER (m)::BIGINT AS matched, count(*) FILTER (m AND lvl = 'low')::BIGINT AS matched_low, count(*) FILTER (NOT m)::BIGINT AS excluded, count(*) FILTER (why = 'version_unknown')::BIGINT AS excluded_unknown, count(*) FILTER (why = 'partial_version')::BIGINT AS excluded_partial, count(*) FILTER (why = 'low_confidence')::BIGINT AS excluded_low, count(*) FILTER (NOT m AND lvl = 'unrated')::BIGINT AS excluded_unrated
@@ -88,7 +116,7 @@ def project_keys(c):
     return c.files.select("file_key", V.project_key(F.col("path"), ["draft", "markup", "signed", "final", "st", "nd"], ["spa", "sha", "mou"]).alias("project"))
 
 
-_TIER = "CASE version_role " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.TIERS.items()) + " ELSE 9 END"
+_TIER = "CASE WHEN version_role = 'execution' THEN 0 WHEN version_role IN ('seller_draft', 'buyer_draft', 'draft_unknown') THEN 2 WHEN version_role IN ('seller_markup', 'buyer_markup', 'markup_unknown', 'bidding') THEN 3 WHEN version_role IN ('buyer_ver', 'seller_ver') THEN 4 WHEN version_role = 'unknown' THEN 5 ELSE 9 END"
 
 
 @query("priority_tiers", f"SELECT file_key, project, CASE WHEN row_number() OVER (PARTITION BY ctype, lang, project ORDER BY {_TIER}, file_key) = 1 THEN 1 ELSE 2 END AS tier FROM ({_PROJ})")

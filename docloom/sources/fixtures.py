@@ -102,7 +102,7 @@ class Corpus:
     def items(self) -> DataFrame:
         from docloom.functions.text import matches
 
-        head = self.paragraphs.filter("para <= 6").join(self.files.select("file_key", "doc_id", "content_hash"), "file_key")
+        head = self.paragraphs.join(self.files.select("file_key", "doc_id", "content_hash"), "file_key")
         hit = head.join(F.broadcast(self.item_rules), matches(F.col("content"), F.col("needle")))
         n = F.col("doc_id") + F.col("para")
         return hit.select(
@@ -116,7 +116,7 @@ class Corpus:
             (F.col("para") + F.col("doc_id") % 3).cast("int").alias("loc_end"),
             choose(n % 4, {0: "affirmative", 1: "negative", 2: "none_exist"}, "not_applicable").alias("statement_polarity"),
             F.when(F.col("doc_id") % 20 == 0, "stale").otherwise(F.col("content_hash")).alias("txt_hash"),
-            F.when(n % 9 == 0, "pending").otherwise("approved").alias("review_status"),
+            F.when(n % 9 == 0, "pending").when(n % 9 == 4, "needs_review").otherwise("approved").alias("review_status"),
         )
 
     @cached_property
@@ -142,10 +142,10 @@ class Corpus:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        rows = self.paragraphs.filter("para = 2").join(self.files.select("file_key", "doc_id"), "file_key")
+        rows = self.paragraphs.join(self.files.select("file_key", "doc_id"), "file_key")
         rows = rows.join(F.broadcast(self.families), F.col("k") == F.col("doc_id") % 6)
         parent = F.when(F.col("doc_id") % 7 == 0, F.concat("family", F.lit(".A"))).otherwise(F.col("family"))
-        return rows.select(F.col("doc_id").alias("candidate_id"), F.col("file_key").alias("evidence_file_key"), "family", parent.alias("recommended_parent_id"), F.col("content").alias("verbatim"), F.substring("content", 1, 12).alias("proposed_ko"), F.col("para").alias("loc_start"), F.lit("pending").alias("status"), F.lit(1).alias("document_count"))
+        return rows.select((F.col("doc_id") * 1000000 + F.col("para")).alias("candidate_id"), F.col("file_key").alias("evidence_file_key"), "family", parent.alias("recommended_parent_id"), F.col("content").alias("verbatim"), F.substring("content", 1, 12).alias("proposed_ko"), F.col("para").alias("loc_start"), F.lit("pending").alias("status"), F.lit(1).alias("document_count"))
 
     @cached_property
     def doc_meta(self) -> DataFrame:
