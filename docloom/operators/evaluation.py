@@ -26,8 +26,12 @@ def match_answers(gold: DataFrame, rows: DataFrame, least: int = 8) -> DataFrame
 
 
 def same_text_anywhere(gold: DataFrame, rows: DataFrame) -> DataFrame:
-    """Results of any document with a gold item's folded text."""
-    return gold.select("gt_id", fold(F.col("verbatim")).alias("_t")).distinct().join(rows.select("ref", fold(F.col("verbatim")).alias("_t")), "_t").select("gt_id", "ref").distinct()
+    """Results of any document with a gold item's folded text, by class of equal texts: gt_id,
+    text_key (sha256 of the text), n_refs, first_ref.  With text_key on both sides a gold item
+    meets all its results; they are not written out as pairs, of which there are k times m."""
+    key = F.sha2(fold(F.col("verbatim")), 256).alias("text_key")
+    classes = rows.select("ref", key).distinct().groupBy("text_key").agg(F.count(F.lit(1)).alias("n_refs"), F.min("ref").alias("first_ref"))
+    return gold.select("gt_id", key).distinct().join(classes, "text_key").select("gt_id", "text_key", "n_refs", "first_ref")
 
 
 def recall_at(ranks: DataFrame, grid: list[int], by: list[str] | None = None) -> DataFrame:

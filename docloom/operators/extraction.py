@@ -70,14 +70,23 @@ def tag_bucket(text: Column, keep: str, noise: Column, reclassify: str) -> Colum
     return F.when(low.rlike(keep), "keep").when(noise, "noise").when(low.rlike(reclassify), "reclassify").otherwise("review")
 
 
-def shingle_coverage(pairs: DataFrame, quote: str, text: str, size: int = 12, step: int = 6) -> DataFrame:
-    """Adds coverage: share of the quote's shingles that stand in the text; null if it is shorter
-    than one."""
-    q = F.col(quote)
+def shingle_coverage(quotes: DataFrame, docs: DataFrame, size: int = 12, step: int = 6) -> DataFrame:
+    """Share of each quote's shingles that stand in a document: item_id, file_key, coverage.
+
+    quotes: item_id, quote; docs: file_key, text.  Pairs without a common shingle, and quotes
+    shorter than one, have no row.  A document's shingles are cut from short pieces of it, as
+    finding a place in a long text takes time in proportion to the place.
+    """
+    q = F.col("quote")
     at = F.sequence(F.lit(1), F.greatest(F.length(q) - size + 1, F.lit(1)), F.lit(step))
-    grams = F.transform(at, lambda i: F.substring(q, i, size))
-    hit = F.size(F.filter(grams, lambda g: F.contains(F.col(text), g)))
-    return pairs.withColumn("coverage", F.when(F.length(q) >= size, hit / F.size(grams)))
+    wanted = quotes.filter(F.length(q) >= size).select("item_id", F.size(at).alias("n"), F.posexplode(F.transform(at, lambda i: F.substring(q, i, size))).alias("i", "gram"))
+    piece = 256
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(piece - size + 1))
+    pieces = docs.select("file_key", F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, piece))).alias("piece")).filter(F.length("piece") >= size)
+    places = F.sequence(F.lit(1), F.length("piece") - size + 1)
+    grams = pieces.select("file_key", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("piece"), i, size)))).alias("gram"))
+    hits = grams.join(wanted, "gram").select("item_id", "n", "file_key", "i").distinct()
+    return hits.groupBy("item_id", "file_key").agg((F.count(F.lit(1)) / F.first("n")).alias("coverage"))
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -85,25 +94,34 @@ def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, "file_key").filter("a_lo <= b_hi and b_lo <= a_hi")
 
 
+def overlapping_items(items: DataFrame) -> DataFrame:
+    """Pairs (structs i, j; i of the lesser item_ref) of a document's items of one family whose
+    ranges share a paragraph.  Of two such ranges the later start lies in the other, so this is
+    an equi-join on a paragraph and gives each pair once."""
+    row = F.struct("item_ref", "taxonomy_id", "verbatim", "loc_start", "loc_end")
+    x = items.select("file_key", "family", row.alias("x"), F.explode(F.sequence("loc_start", F.greatest("loc_start", "loc_end"))).alias("at"))
+    y = items.select("file_key", "family", row.alias("y"), F.col("loc_start").alias("at"))
+    pairs = x.join(y, ["file_key", "family", "at"]).filter("x.loc_start < at or x.item_ref < y.item_ref").filter("x.item_ref <> y.item_ref and y.loc_start <= y.loc_end and x.loc_start <= x.loc_end")
+    first = F.col("x.item_ref") < F.col("y.item_ref")
+    return pairs.select("file_key", F.when(first, F.col("x")).otherwise(F.col("y")).alias("i"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("j"))
+
+
 def duplicate_quotes(items: DataFrame, least: int = 8) -> DataFrame:
     """Pairs of a document's items of one family: same text and node with overlapping ranges, or
     one text inside the other (``least`` characters or more) with overlapping ranges."""
-    i, j = items.alias("i"), items.alias("j")
-    near = F.expr("i.file_key = j.file_key and i.family = j.family and i.item_ref < j.item_ref and i.loc_start <= j.loc_end and j.loc_start <= i.loc_end")
     same = F.expr("i.verbatim = j.verbatim and i.taxonomy_id = j.taxonomy_id")
     inside = F.expr(f"i.verbatim <> j.verbatim and length(i.verbatim) >= {least} and length(j.verbatim) >= {least} and (contains(i.verbatim, j.verbatim) or contains(j.verbatim, i.verbatim))")
-    pairs = i.join(j, near & (same | inside))
-    return pairs.select("i.file_key", F.col("i.item_ref").alias("a_ref"), F.col("j.item_ref").alias("b_ref"), F.when(same, "duplicate").otherwise("contained").alias("code"))
+    pairs = overlapping_items(items).filter(same | inside)
+    return pairs.select("file_key", F.col("i.item_ref").alias("a_ref"), F.col("j.item_ref").alias("b_ref"), F.when(same, "duplicate").otherwise("contained").alias("code"))
 
 
 def range_jaccard(items: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of different quotes of a document and family whose paragraph ranges have a Jaccard
-    index of ``least`` or more."""
-    i, j = items.alias("i"), items.alias("j")
+    index of ``least`` (above 0) or more."""
     both = F.least(F.col("i.loc_end"), F.col("j.loc_end")) - F.greatest(F.col("i.loc_start"), F.col("j.loc_start")) + 1
     either = F.greatest(F.col("i.loc_end"), F.col("j.loc_end")) - F.least(F.col("i.loc_start"), F.col("j.loc_start")) + 1
-    pairs = i.join(j, F.expr("i.file_key = j.file_key and i.family = j.family and i.item_ref < j.item_ref and i.verbatim <> j.verbatim") & (both > 0) & (both / either >= least))
-    return pairs.select("i.file_key", F.col("i.item_ref").alias("a_ref"), F.col("j.item_ref").alias("b_ref"), F.bround(both / either, 4).alias("jaccard"))
+    pairs = overlapping_items(items).filter(F.expr("i.verbatim <> j.verbatim") & (both / either >= least))
+    return pairs.select("file_key", F.col("i.item_ref").alias("a_ref"), F.col("j.item_ref").alias("b_ref"), F.bround(both / either, 4).alias("jaccard"))
 
 
 def nearest_node(rows: DataFrame, text: str, key: list[str], nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,17 +33,28 @@ def containing(rows: DataFrame, needles: DataFrame, fold: bool = True, limit: in
         return rows.join(F.broadcast(needles), F.contains(low("content"), low("needle")))
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
     short, long = needles.filter("length(needle) < 3"), needles.filter("length(needle) >= 3")
-    if short.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} needles are shorter than three characters")
-    found = rows.join(F.broadcast(short), F.contains(low("content"), low("needle")))
-    tri = rows.select("*", F.explode(grams(low("content"))).alias("_g"))
+    found = _containing_short(rows, short, low)
+    # the text is not copied beside each of its trigrams: rows are found again by a hash of it
+    keyed = rows.withColumn("_k", F.xxhash64("content"))
+    tri = keyed.select("_k", F.explode(grams(low("content"))).alias("_g")).distinct()
     df = tri.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
     pick = long.distinct().select("needle", F.explode(grams(low("needle"))).alias("_g")).distinct().join(df, "_g", "left")
     rare = pick.groupBy("needle").agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), F.col("_g"))).alias("_g"))
-    joined = tri.join(long.join(rare, "needle"), "_g").filter(F.contains(low("content"), low("needle"))).drop("_g")
+    likely = tri.join(long.join(rare, "needle"), "_g").drop("_g")
+    joined = keyed.join(likely, "_k").filter(F.contains(low("content"), low("needle"))).drop("_k")
     return found.unionByName(joined)
 
 
+def _containing_short(rows: DataFrame, short: DataFrame, low) -> DataFrame:
+    """Rows with needles under three characters: joined on the text's one- and two-character
+    pieces; an empty needle stands in every row."""
+    spot = F.col("_t")
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(spot)), lambda i: F.array(F.substring(spot, i, 1), F.substring(spot, i, 2)))))
+    text = rows.filter("content is not null").withColumn("_t", low("content"))
+    cut = text.withColumn("_p", F.explode(F.when(F.length("_t") > 0, F.array_union(pieces, F.array(F.lit("")))).otherwise(F.array(F.lit("")))))
+    return cut.drop("_t").join(short.withColumn("_p", low("needle")), "_p").drop("_p")
+
+
 def expand(keywords: DataFrame, terms: DataFrame, mode: str = "normal", avoid: DataFrame | None = None) -> DataFrame:
     """Terms to search for each keyword (kw): term, source ('exact' or 'expanded'), canonical.
 
@@ -80,12 +92,13 @@ def paragraph_scores(paragraphs: DataFrame, terms: DataFrame) -> DataFrame:
     size = F.greatest(F.length("content") - 2, F.lit(0))
     total = paragraphs.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(size).alias("avg_len"))
     hits = containing(paragraphs, terms.select(F.col("term").alias("needle")).distinct()).withColumnRenamed("needle", "term")
-    hits = hits.withColumn("tf", occurrences(F.col("content"), F.col("term"))).withColumn("len", size)
+    hits = hits.select("term", "file_key", "para", occurrences(F.col("content"), F.col("term")).alias("tf"), size.alias("len"))
+    hits = hits.persist(StorageLevel.MEMORY_AND_DISK)  # read for frequencies, quantiles, ranks, terms and snippets
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_hits"))
     # one row for the corpus and one per term: bounded by the query
     scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))
     score = bm25(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("n_rows"), F.col("n_hits"))
-    return scored.select("term", "file_key", "para", "content", F.when(F.length("term") >= 3, F.round(score, 9)).otherwise(0.0).alias("score"))
+    return scored.select("term", "file_key", "para", F.when(F.length("term") >= 3, F.round(score, 9)).otherwise(0.0).alias("score"))
 
 
 def best_ranks(scores: DataFrame, expanded: DataFrame) -> DataFrame:
@@ -118,13 +131,14 @@ def keyword_search(paragraphs: DataFrame, files: DataFrame, keywords: DataFrame,
     """Ranked files that match all keywords: file_key, filename, score, duplicates,
     matched_terms, snippet, total_files, total."""
     n = keywords.select("kw").distinct().count()
-    expanded = expand(keywords, terms, mode, avoid)
+    # each of these is read several times below; the hits are one row a file, top has ``limit`` rows
+    expanded = expand(keywords, terms, mode, avoid).persist()
     scores = paragraph_scores(paragraphs, expanded)
-    hits = fused(best_ranks(scores, expanded), n).join(searchable(files, ctype, lang, exclude_drafts), "file_key")
+    hits = fused(best_ranks(scores, expanded), n).join(searchable(files, ctype, lang, exclude_drafts), "file_key").persist(StorageLevel.MEMORY_AND_DISK)
     size = hits.groupBy("dup_group").agg(F.count(F.lit(1)).alias("duplicates"))
     shown = representatives(hits, [F.col("score").desc()]) if dedup else hits
     totals = hits.agg(F.count(F.lit(1)).alias("total_files"), F.count_distinct("dup_group").alias("total"))
-    top = shown.join(size, "dup_group").orderBy(F.col("score").desc(), F.col("file_key")).limit(limit)
+    top = shown.join(size, "dup_group").orderBy(F.col("score").desc(), F.col("file_key")).limit(limit).persist()
     found = scores.join(F.broadcast(top.select("file_key")), "file_key").groupBy("file_key").agg(F.array_join(F.slice(F.array_sort(F.collect_set("term")), 1, 20), "|").alias("matched_terms"))
     out = top.join(found, "file_key").join(snippets(scores, top, paragraphs), "file_key").crossJoin(F.broadcast(totals))
     return out.select("file_key", "filename", F.round("score", 9).alias("score"), "duplicates", "matched_terms", "snippet", "total_files", "total")

@@ -32,7 +32,7 @@ def answer_matches(c):
     return E.match_answers(_gold(c), _res(c))
 
 
-@query("same_text_anywhere", f"WITH {_GOLD}, {_RES} SELECT DISTINCT gt_id, ref FROM gold JOIN res ON {_FOLD.format(c='gold.verbatim')} = {_FOLD.format(c='res.verbatim')}")
+@query("same_text_anywhere", f"WITH {_GOLD}, {_RES}, k AS (SELECT sha256({_FOLD.format(c='verbatim')}) AS text_key, count(DISTINCT ref)::BIGINT AS n_refs, min(ref) AS first_ref FROM res GROUP BY 1) SELECT DISTINCT gt_id, text_key, n_refs, first_ref FROM gold JOIN k ON sha256({_FOLD.format(c='verbatim')}) = text_key")
 def same_text_anywhere(c):
     return E.same_text_anywhere(_gold(c), _res(c))
 
@@ -41,10 +41,10 @@ _RANKS = f"{_GOLD}, {_RES}, {_MATCH}, rk AS (SELECT ref, row_number() OVER (PART
 
 
 def _ranks(c):
-    from pyspark.sql import Window as W
+    from docloom.functions.ranking import rank_within
 
     res = _res(c)
-    ranked = res.withColumn("rank", F.row_number().over(W.partitionBy("family").orderBy(F.length("verbatim"), "file_key", "ref"))).select("ref", "rank")
+    ranked = rank_within(res.select("family", "file_key", "ref", F.length("verbatim").alias("size")), "family", "size", ["file_key", "ref"]).select("ref", "rank")
     found = E.match_answers(_gold(c), res).join(ranked, "ref").groupBy("gt_id").agg(F.min("rank").alias("rank"))
     return _gold(c).join(found, "gt_id", "left")
 

@@ -38,11 +38,12 @@ def paragraph_reading(c):
     )
 
 
-@query("grounding", """WITH p AS (SELECT b.item_id, f.file_key, b.text AS q, d.text AS t FROM benchmark b JOIN documents d ON d.doc_id % 25 = b.item_id % 25 JOIN fx_files f USING (doc_id) WHERE f.status = 'ok'), g AS (SELECT item_id, file_key, avg(CASE WHEN contains(t, substr(q, i, 12)) THEN 1.0 ELSE 0.0 END) AS coverage FROM (SELECT *, unnest(range(1, greatest(length(q) - 11, 1) + 1, 6)) AS i FROM p WHERE length(q) >= 12) GROUP BY ALL) SELECT item_id, file_key, round(coverage, 6) AS coverage, coverage < 0.7 AS ungrounded FROM g""")
+@query("grounding", """WITH g AS (SELECT item_id, text AS q, unnest(range(1, length(text) - 11 + 1, 6)) AS i FROM benchmark WHERE length(text) >= 12), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1),
+h AS (SELECT item_id, f.file_key, count(*) AS hits FROM g JOIN documents d ON contains(d.text, substr(q, i, 12)) JOIN fx_files f USING (doc_id) WHERE f.status = 'ok' GROUP BY ALL)
+SELECT item_id, file_key, round(hits / n, 6) AS coverage, hits / n < 0.7 AS ungrounded FROM h JOIN n USING (item_id)""")
 def grounding(c):
-    docs = c.files.filter("status = 'ok'").select("doc_id", "file_key").join(c.documents.select("doc_id", F.col("text").alias("t")), "doc_id").withColumn("_k", F.col("doc_id") % 25)
-    quotes = c.table("benchmark").select("item_id", F.col("text").alias("q"), (F.col("item_id") % 25).alias("_k"))
-    rows = X.shingle_coverage(docs.join(quotes, "_k"), "q", "t").filter("coverage is not null")
+    docs = c.files.filter("status = 'ok'").select("doc_id", "file_key").join(c.documents.select("doc_id", "text"), "doc_id").select("file_key", "text")
+    rows = X.shingle_coverage(c.table("benchmark").select("item_id", F.col("text").alias("quote")), docs)
     return rows.select("item_id", "file_key", F.round("coverage", 6).alias("coverage"), (F.col("coverage") < 0.7).alias("ungrounded"))
 
 

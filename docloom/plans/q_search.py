@@ -25,9 +25,11 @@ def keywords(c):
     return c.small([("the",), ("that",)], "kw string")
 
 
-@query("expand_keywords", f"WITH {_EXP} SELECT kw, term, source FROM fx_exp")
+@query("expand_keywords", """WITH k AS (SELECT DISTINCT kw FROM fx_query_log WHERE kw <> ''), f AS (SELECT canonical, lower(variant) AS form FROM fx_term UNION SELECT canonical, lower(canonical) FROM fx_term)
+SELECT kw, kw AS term, 'exact' AS source FROM k
+UNION ALL SELECT DISTINCT k.kw, lower(v.variant), 'expanded' FROM k JOIN f ON f.form = k.kw JOIN fx_term v ON v.canonical = f.canonical AND v.strength <> 'broad' AND lower(v.variant) <> k.kw""")
 def expand_keywords(c):
-    return S.expand(keywords(c), c.terms).select("kw", "term", "source")
+    return S.expand(c.query_log.filter("kw <> ''").select("kw").distinct(), c.terms).select("kw", "term", "source")
 
 
 @query("resolve_tags", "SELECT kw, coalesce(min(t.canonical), kw) AS tag FROM (SELECT DISTINCT kw FROM fx_query_log WHERE kw <> '') LEFT JOIN fx_term t ON lower(t.variant) = kw GROUP BY kw")

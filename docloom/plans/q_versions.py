@@ -46,10 +46,10 @@ cls AS (SELECT file_key,
 
 def _project(c):
     """Files under projects of several types, without the seller's drafts, so that one author is left."""
-    return c.files.filter("doc_id % 8 <> 2").withColumn("project", F.concat("folder", F.lit(":"), (F.col("doc_id") % 5).cast("string"))).withColumn("ctype", F.lit("any"))
+    return c.files.filter("doc_id % 8 <> 2").withColumn("project", F.concat(F.lit("p"), (F.col("doc_id") % 5).cast("string"))).withColumn("ctype", F.lit("any"))
 
 
-_PROJ = "SELECT * REPLACE ('any' AS ctype), folder || ':' || (doc_id % 5) AS project FROM fx_files WHERE doc_id % 8 <> 2"
+_PROJ = "SELECT * REPLACE ('any' AS ctype), 'p' || (doc_id % 5) AS project FROM fx_files WHERE doc_id % 8 <> 2"
 
 
 @query("version_roles", f"WITH {_CLASS} SELECT file_key, role, confidence, basis FROM cls")
