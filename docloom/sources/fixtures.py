@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TERMS = [("alpha", "the", "normal", "en"), ("alpha", "there", "normal", "en"), ("alpha", "whst", "broad", "en"), ("beta", "that", "normal", "en"), ("beta", "this", "normal", "en"), ("gamma", "und", "normal", "de"), ("gamma", "der", "normal", "de"), ("delta", "la", "strict", "fr"), ("delta", "dans", "normal", "fr"), ("omega", "zzzqq", "normal", "en")]
 NODES = [("RW", None, "RW", "root rw"), ("RW.A", "RW", "RW", "node a"), ("RW.A.X", "RW.A", "RW", "leaf ax"), ("RW.B", "RW", "RW", "node b"), ("CP", None, "CP", "root cp"), ("CP.A", "CP", "CP", "node a"), ("COV", None, "COV", "root cov"), ("COV.A", "COV", "COV", "cov a"), ("DEF", None, "DEF", "root def"), ("DEF.T", "DEF", "DEF", "term"), ("PAY", None, "PAY", "root pay"), ("REM", None, "REM", "root rem")]
@@ -39,8 +40,11 @@ class Corpus:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def small(self, rows: list, schema: str) -> DataFrame:
-        """A parameter table."""
-        return self.spark.createDataFrame(rows, schema)
+        """A parameter table as literals of the plan, which need no job to be read."""
+        fields = StructType.fromDDL(schema).fields
+        marks = ", ".join("(" + ", ".join("?" for _ in fields) + ")" for _ in rows)
+        values = self.spark.sql(f"SELECT * FROM VALUES {marks}", args=[v for row in rows for v in row])
+        return values.select(*[F.col(f"col{i + 1}").cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
     @cached_property
     def documents(self) -> DataFrame:
