@@ -46,6 +46,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def sheltered(df: DataFrame, names: list[str]) -> tuple[list[Column], list[Column]]:
+    """The named columns of ``df`` as in_0, in_1, ..., which no operator uses, and the way back."""
+    return [df[c].alias(f"in_{i}") for i, c in enumerate(names)], [F.col(f"in_{i}").alias(c) for i, c in enumerate(names)]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -82,15 +87,16 @@ def with_text_columns(df: DataFrame, text: str, keep: list[str], fields: str, co
     keep = [c for c in keep if c not in added.names]
     schema = StructType([df.schema[c] for c in keep] + added.fields)
     names = [f.name for f in added.fields]
+    body = fresh(df.select(*[df[c] for c in keep]), "_text_")
 
     def run(batches):
         for batch in batches:
-            buf, offsets = as_bytes(batch.column("_text_"))
+            buf, offsets = as_bytes(batch.column(body))
             for lo, hi in runs(offsets):
                 made = compute(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in keep] + made, names=keep + names)
 
-    return df.select(*[df[c] for c in keep], df[text].alias("_text_")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text].alias(body)).mapInArrow(run, schema)
 
 
 def fold(columns: list[Column]) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytevec import ALNUM_WORDS, LOWER, as_bytes, counts_per_doc, mix, prefix_sums, runs, span_hashes, word_bounds
-from .common import stored, with_text_columns
+from .common import sheltered, stored, with_text_columns
 
 WINDOW = 10
 SHINGLE = 5
@@ -174,7 +174,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", keep: l
     every = stored(every.groupBy("words", "size").agg(F.sort_array(F.collect_set(F.coalesce("id", F.lit("")))).alias("ids"), F.first("tokens").alias("tokens")), "windows")
     n_blocks = 1 + every.count() // block
     every = every.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(n_blocks)))
-    out = docs.select(*[docs[c] for c in names], docs[text].alias("_body"), F.lit(None).cast("array<long>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"), F.lit(None).cast("long").alias("_words"))
+    names = [c for c in names if c.lower() not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
+    own, back = sheltered(docs, names)
+    out = docs.select(*own, docs[text].alias("_body"), F.lit(None).cast("array<long>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"), F.lit(None).cast("long").alias("_words"))
     for b in range(n_blocks):
         part = every.filter(F.col("block") == b)
         tokens = part.select(F.explode("tokens").alias("token"), F.least("size", F.lit(SHINGLE)).alias("k")).distinct()
@@ -193,21 +195,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", keep: l
 
         made = with_text_columns(out, "_body", out.columns, "_s array<long>, _i array<string>, _n long", compute)
         joined = [F.concat(F.coalesce(a, F.array().cast(t)), F.col(b)).alias(a) for a, b, t in (("_spans", "_s", "array<long>"), ("_items", "_i", "array<string>"))]
-        out = made.select(*names, "_body", *joined, F.coalesce("_n", "_words").alias("_words"))
+        out = made.select(*[f"in_{i}" for i in range(len(names))], "_body", *joined, F.coalesce("_n", "_words").alias("_words"))
         if n_blocks > 1:
             out = stored(out, "hits")
     size = F.size("_spans")
     hit = F.flatten(F.transform(F.sequence(F.lit(0), (size / 2).cast("int") - 1), lambda i: F.sequence(F.element_at("_spans", (2 * i + 1).cast("int")), F.element_at("_spans", (2 * i + 2).cast("int")) - 1)))
-    names = [c for c in names if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
     listed = F.array_sort(F.array_distinct("_items"))
-    return out.select(
-        *names,
+    made = out.select(
+        *[f"in_{i}" for i in range(len(names))],
         F.col("_words").alias("n_words"),
         F.when(size > 0, F.size(F.array_distinct(hit))).otherwise(0).cast("long").alias("n_hit"),
         F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         (size > 0).alias("contaminated"),
     )
+    return made.select(*back, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup
+from .common import lookup, sheltered
 
 SEED = "mix-2024"
 #: 2**52: 13 hexadecimal digits make an exact uniform double.
@@ -54,31 +54,32 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     """Every document as often as its Poisson draw says, in global random order.
 
     ``weights`` maps a source to its target share (sources not named get nothing; shares are
-    normalised); without it all sources weigh the same.  Adds copy (0-based), n_copies, rate
+    normalised; if they sum to 0 nothing is returned); without it all sources weigh the same.  Adds copy (0-based), n_copies, rate
     and shuffle_key (by which the result is range-partitioned and sorted).  Null sources are
     one source of their own, which ``weights`` names by None.  Rows that repeat an id draw
     alike.  Columns of the input with those four names are replaced.  An empty table gives an
     empty one.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("copy", "n_copies", "rate", "shuffle_key")]
-    keyed = docs.select(*names).withColumn("_source", F.to_json(F.struct(F.col(source).alias("s"))))
+    names = [c for c in docs.columns if c.lower() not in ("copy", "n_copies", "rate", "shuffle_key")]
+    own, back = sheltered(docs, names)
+    keyed = docs.select(*own, docs[id_col].alias("_id"), F.to_json(F.struct(docs[source].alias("s"))).alias("_source"))
     sizes = keyed.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
         kinds, total = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
         table = sizes.withColumn("rate", F.lit(float(total or 0)) / F.lit(float(kinds or 1)) / F.col("_n"))
     else:
         total, share = sizes.agg(F.sum("_n")).first()[0] or 0, sum(weights.values())
-        wanted = spark.createDataFrame([(k, v / share) for k, v in weights.items()], "s string, w double")
+        wanted = spark.createDataFrame([(k, v / share if share else 0.0) for k, v in weights.items()], "s string, w double")
         wanted = wanted.select(F.to_json(F.struct("s")).alias("_source"), "w")
         table = sizes.join(F.broadcast(wanted), "_source", "left").select("_source", "_n", (F.coalesce("w", F.lit(0.0)) * total / F.col("_n")).alias("rate"))
     count = poisson_count(F.col("_u"), F.col("rate"))
-    drawn = lookup(keyed, table, "_source", "_n").withColumn("_u", uniform(seed, F.col(id_col))).withColumn("n_copies", count).filter("n_copies > 0")
+    drawn = lookup(keyed, table, "_source", "_n").withColumn("_u", uniform(seed, F.col("_id"))).withColumn("n_copies", count).filter("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    key = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string"))), 1, 16)
-    copies = copies.withColumn("shuffle_key", key).select(*names, "copy", "n_copies", "rate", "shuffle_key")
+    key = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("copy").cast("string"))), 1, 16)
+    copies = copies.withColumn("shuffle_key", key)
     spread = copies.repartitionByRange(partitions, "shuffle_key") if partitions else copies.repartitionByRange("shuffle_key")
-    return spread.sortWithinPartitions("shuffle_key", id_col)
+    return spread.sortWithinPartitions("shuffle_key", "_id").select(*back, "copy", "n_copies", "rate", "shuffle_key")
 
 
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ one task, so the schedule has two levels:
    scheduled, largest first, onto the shards with one heap on the driver.
 
 Both levels are LPT, and a bin is itself a group of groups that stay together.  The driver
-only sees bins and heavy groups, whose number does not grow with the data.
+only sees bins and heavy groups: some 24 numbers for each BLOCK_GROUPS groups.
 
 Slots are numbered per shard without a window over a whole shard: rows are numbered within
 (shard, slice), and the slices' offsets are added.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import lookup, stored
 
 SHARDS = 24
+#: At least so many blocks, and one for so many groups, so that a block fits one task.
 BLOCKS = 256
+BLOCK_GROUPS = 1 << 19
 SLICES = 512
 #: A group is heavy from 1/HEAVY of all bytes on, so there are at most HEAVY heavy groups.
 HEAVY = 24 * 64
@@ -55,7 +57,7 @@ def _block_bins(shards: int):
     return schedule
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, slices: int = SLICES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, blocks: int | None = None, slices: int = SLICES, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Put every row into one of ``shards`` shards, equal texts together, bytes near equal.
 
     Returns id_col, size, text_crc32, law ('bytes'), shard, slot (0, 1, 2, ... in each shard)
@@ -74,6 +76,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS,
     rows = stored(rows, "shard-rows")  # ids and digests, no texts
     groups = stored(rows.groupBy("gkey").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
+    blocks = blocks or max(BLOCKS, groups.count() // BLOCK_GROUPS)
     is_heavy = F.col("bytes") * HEAVY >= total
     heavy = groups.filter(is_heavy).orderBy(F.desc("bytes"), "gkey").collect()  # at most HEAVY rows
     light = (

@@ -25,6 +25,8 @@ from .common import lookup, stored
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Longest word that a label is split into.
 WORD = 24
+#: Places of a label whose pieces are listed at a time.
+START = 4096
 ALPHA = 1.0
 LETTERS = byte_table(bytes([*range(0x61), *range(0x7B, 0x100)]))
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -86,16 +88,25 @@ def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
 
 def segmented(labels: DataFrame, words: DataFrame, total: int) -> DataFrame:
     """(label, words) for each different label."""
-    at = F.sequence(F.lit(1), F.length("label"))
-    pieces = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(i, F.least(F.length("label"), i + WORD - 1)), lambda j: F.substring("label", i, j - i + 1))))
-    found = labels.filter("label <> ''").select("label", F.explode(F.array_distinct(pieces)).alias("word")).join(words, "word")
-    found = found.groupBy("label").agg(F.collect_list("word").alias("ws"), F.collect_list("c").alias("cs"))
+
+    def pieces(batches):
+        for batch in batches:
+            for key, label in zip(batch.column("key"), batch.column("label").to_pylist(), strict=True):
+                n = len(label)
+                for lo in range(0, n, START):
+                    some = {label[i:j] for i in range(lo, min(lo + START, n)) for j in range(i + 1, min(i + WORD, n) + 1)}
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(some), pa.binary()), pa.array(sorted(some), pa.string())], names=["key", "word"])
+
+    # rows of pieces carry the label's hash, as there are up to 24 for each of its letters
+    labels = labels.withColumn("key", F.unhex(F.md5("label")))
+    found = labels.filter("label <> ''").select("key", "label").mapInArrow(pieces, "key binary, word string").distinct().join(words, "word")
+    found = found.groupBy("key").agg(F.collect_list("word").alias("ws"), F.collect_list("c").alias("cs"))
 
     @F.pandas_udf("array<string>")
     def split(label: pd.Series, ws: pd.Series, cs: pd.Series) -> pd.Series:
         return pd.Series([viterbi(l, dict(zip(w, c, strict=True)) if w is not None else {}, total) for l, w, c in zip(label, ws, cs, strict=True)])
 
-    return labels.join(found, "label", "left").select("label", F.when(F.col("label") == "", F.array().cast("array<string>")).otherwise(split("label", "ws", "cs")).alias("words"))
+    return labels.join(found, "key", "left").select("label", F.when(F.col("label") == "", F.array().cast("array<string>")).otherwise(split("label", "ws", "cs")).alias("words"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", id_col: str = "page_id", text: str = "html") -> DataFrame:
@@ -110,17 +121,19 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", id_col: str = "
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
     shape = F.regexp_replace(F.lower("path"), r"\d+", "0")  # all numbers are one token
     rows = rows.withColumn("fit", ruled(F.col("host"), F.col("path"), rules)).withColumn("shape", shape)
-    rows = stored(rows.select("_id", "host", "path", "shape", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruling")), "url-rows")
+    # a long host or path has many tokens, so their rows carry its hash
+    rows = rows.withColumns({"hid": F.unhex(F.md5("host")), "sid": F.unhex(F.md5("shape"))})
+    rows = stored(rows.select("_id", "host", "path", "shape", "hid", "sid", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruling")), "url-rows")
     block, allow = F.count_if(F.col("ruling") == "block"), F.count_if(F.col("ruling") == "allow")
-    hosts = stored(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), block.alias("b"), allow.alias("a")), "url-hosts")
-    shapes = stored(rows.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), block.alias("b"), allow.alias("a")), "url-shapes")
+    hosts = stored(rows.groupBy("hid", "host").agg(F.count(F.lit(1)).alias("n"), block.alias("b"), allow.alias("a")), "url-hosts")
+    shapes = stored(rows.groupBy("sid", "shape").agg(F.count(F.lit(1)).alias("n"), block.alias("b"), allow.alias("a")), "url-shapes")
     words = stored(word_counts(pages, text), "url-words")
     total = words.agg(F.sum("c")).first()[0] or 0
-    parts = hosts.select("host", "n", "b", "a", F.explode(F.split("host", r"[^a-z]+")).alias("label"))
+    parts = hosts.select("hid", "n", "b", "a", F.explode(F.split("host", r"[^a-z]+")).alias("label"))
     splits = stored(segmented(parts.select("label").distinct(), words, total), "url-splits")
     by_label = stored(parts.groupBy("label").agg(F.count(F.lit(1)).alias("k")).join(splits, "label"), "url-labels")
-    of_host = lookup(parts, by_label, "label", "k").select("host", "n", "b", "a", F.explode("words").alias("token"))
-    of_shape = shapes.select("shape", "n", "b", "a", F.explode(F.filter(F.split("shape", r"[^0-9a-z\x{80}-\x{10FFFF}]+"), lambda t: t != "")).alias("token"))
+    of_host = lookup(parts, by_label, "label", "k").select("hid", "n", "b", "a", F.explode("words").alias("token"))
+    of_shape = shapes.select("sid", "n", "b", "a", F.explode(F.filter(F.split("shape", r"[^0-9a-z\x{80}-\x{10FFFF}]+"), lambda t: t != "")).alias("token"))
     of_host, of_shape = stored(of_host.withColumn("token", F.concat(F.lit("h:"), "token")), "url-host-tokens"), stored(of_shape.withColumn("token", F.concat(F.lit("p:"), "token")), "url-path-tokens")
     counts = of_host.select("token", "b", "a").union(of_shape.select("token", "b", "a")).groupBy("token").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count(F.lit(1)).alias("k"))
     counts = stored(counts, "url-counts")
@@ -135,8 +148,8 @@ def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", id_col: str = "
         sums = lookup(tokens.select(key, "token"), table, "token", "k").groupBy(key).agg(F.sum("odds").alias(name))
         return stored(keys.select(key, "n").join(sums, key, "left").select(key, "n", F.coalesce(name, F.lit(0.0)).alias(name)), f"url-{name}")
 
-    out = lookup(rows, scores(of_host, hosts, "host", "host_score"), "host", "n")
-    out = lookup(out, scores(of_shape, shapes, "shape", "path_score"), "shape", "n")
+    out = lookup(rows, scores(of_host, hosts, "hid", "host_score"), "hid", "n")
+    out = lookup(out, scores(of_shape, shapes, "sid", "path_score"), "sid", "n")
     score = F.round(F.lit(prior) + F.col("host_score") + F.col("path_score"), 9)
     verdict = F.coalesce("ruling", F.when(score > 0, "block").otherwise("allow"))
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("ruling").isNull(), score).alias("score"))
