@@ -19,7 +19,11 @@ def _prefixed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality rules reject."""
+    """Drop the documents that the quality rules reject.
+
+    Null and empty texts have no words and go; repeated rows are judged alike, so all stay or
+    all go; columns of any name are returned as they came; an empty table gives an empty one.
+    """
     own, back = _prefixed(docs)
     return quality.quality_rules(own, text="in_text").filter("kept").select(*back)
 
@@ -44,20 +48,32 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a window of a benchmark item."""
+    """Drop the documents that hold a window of a benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike; columns of any
+    name are returned as they came; an empty table, or no benchmark items, changes nothing.
+    """
     own, back = _prefixed(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminate(own, items, text="in_text").filter("not contaminated").select(*back)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents so that all sources weigh the same; in global random order."""
+    """Repeat documents so that all sources weigh the same; in global random order.
+
+    Rows without a source are one source; rows that repeat an id (null as well) draw the same
+    count; texts play no part; an empty table gives an empty one.
+    """
     own, back = _prefixed(docs)
     return mixing.mix_sources(own, source="in_source", id_col="in_doc_id").select(*back)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row."""
+    """The shard and slot of every row, as sharding.shard_documents gives them.
+
+    Equal texts stay together (null texts are a group, empty ones another); null and repeated
+    ids keep a row each; further columns are left out; an empty table gives an empty one.
+    """
     return sharding.shard_documents(docs)
 
 
