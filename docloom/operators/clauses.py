@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.text import alias_key, signature, subdomain
+from docloom.functions.text import alias_key, occurrences, signature, subdomain
+from docloom.operators.search import bm25
 from docloom.operators.stats import blocked_candidates
 
 
@@ -107,6 +108,65 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> D
     return shown.crossJoin(F.broadcast(totals)).withColumn("has_more", F.col("total_items") > offset + limit).withColumn("low_signal", F.col("total_items") > 200)
 
 
+def search_rank(rows: DataFrame, items: DataFrame, text: str | None) -> DataFrame:
+    """The rows with ``order_key``, smallest first.
+
+    Text with a token of three characters or more: the whole text in a row first, then bm25 of
+    those tokens (frequencies over all ``items``), then the length.  Shorter tokens only: how
+    many stand there, the whole text, the first token's place, the length.  No text: the place.
+    """
+    tokens = (text or "").lower().split()
+    long, low = [t for t in tokens if len(t) >= 3], F.lower("verbatim")
+    has = lambda t: F.coalesce(F.contains(low, F.lit(t)), F.lit(False))
+    tail = [F.length(F.coalesce("verbatim", F.lit(""))), F.col("file_key"), F.col("loc_start"), F.col("item_ref")]
+    apart = (~has((text or "").strip().lower())).cast("int")
+    if long:
+        size = F.greatest(F.length("verbatim") - 2, F.lit(0))
+        # one row, whatever the corpus
+        total = items.agg(F.count(F.lit(1)).alias("_n"), F.avg(size).alias("_avg"), *[F.count_if(has(t)).alias(f"_h{i}") for i, t in enumerate(long)])
+        rows = rows.crossJoin(F.broadcast(total))
+        score = sum((bm25(occurrences(F.col("verbatim"), F.lit(t)), size, F.col("_avg"), F.col("_n"), F.col(f"_h{i}")) for i, t in enumerate(long)), F.lit(0.0))
+        keys = [apart, F.round(score, 9), *tail]
+    elif tokens:
+        place = F.when(has(tokens[0]), F.instr(low, tokens[0])).otherwise(2147483647)
+        keys = [-sum((has(t).cast("int") for t in tokens), F.lit(0)), apart, place, *tail]
+    else:
+        keys = tail[1:]
+    ranked = rows.withColumn("order_key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    return ranked.drop("_n", "_avg", *[f"_h{i}" for i in range(len(long))])
+
+
+def clause_search(items: DataFrame, nodes: DataFrame, files: DataFrame, coverage: DataFrame, root: str, polarity: str | None = None, subject: str | None = None, effective_time: str | None = None, text: str | None = None, dedup: bool = True) -> DataFrame:
+    """Approved items of a subtree that fit all filters, with ``order_key``.
+
+    Subject and time are compared without case; every token of the text must stand in the item.
+    With ``dedup`` only the file of a duplicate group's first item stays, with all its items.
+    """
+    rows = items.filter("review_status = 'approved'")
+    for column, value in (("subject_role", subject), ("effective_time", effective_time)):
+        if value:
+            rows = rows.filter(F.lower(F.coalesce(column, F.lit(""))) == value.strip().lower())
+    rows = search_rank(search_items(rows, nodes, files, coverage, root, polarity, (text or "").lower().split()), items, text)
+    if dedup:
+        first = rows.groupBy("dup_group").agg(F.min_by("file_key", "order_key").alias("file_key"))
+        rows = rows.join(first, ["dup_group", "file_key"], "left_semi")
+    return rows
+
+
+def search_page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    return rows.orderBy("order_key").offset(offset).limit(limit).drop("order_key")
+
+
+def search_summary(rows: DataFrame, limit: int, offset: int = 0, signal: bool = False, text: bool = False, population: int = 200) -> DataFrame:
+    """One row: totals, returned items, has_more, next_offset (null at the end) and two hints:
+    many items without anything that ranks them; nothing found although every token had to fit."""
+    t = rows.agg(F.count(F.lit(1)).alias("total_items"), F.count_distinct("file_key").alias("total_documents"), F.count_if(F.col("freshness") == "stale").alias("total_stale"))
+    n = F.col("total_items")
+    t = t.withColumn("returned_items", F.greatest(F.least(n - offset, F.lit(limit).cast("long")), F.lit(0).cast("long")))
+    end = F.col("returned_items") + offset
+    return t.withColumns({"has_more": end < n, "next_offset": F.when(end < n, end), "low_signal": (n > population) & F.lit(not signal and not text), "zero_result": (n == 0) & F.lit(text)})
+
+
 def dedup_items(rows: DataFrame, order: list[Column]) -> DataFrame:
     """All items of one file per duplicate group: the file of the group's first-ranked item."""
     w = W.partitionBy("dup_group").orderBy(*order)
