@@ -126,7 +126,7 @@ def search_rank(rows: DataFrame, items: DataFrame, text: str | None) -> DataFram
         total = items.agg(F.count(F.lit(1)).alias("_n"), F.avg(size).alias("_avg"), *[F.count_if(has(t)).alias(f"_h{i}") for i, t in enumerate(long)])
         rows = rows.crossJoin(F.broadcast(total))
         score = sum((bm25(occurrences(F.col("verbatim"), F.lit(t)), size, F.col("_avg"), F.col("_n"), F.col(f"_h{i}")) for i, t in enumerate(long)), F.lit(0.0))
-        keys = [apart, F.round(score, 9), *tail]
+        keys = [apart, F.round(score, 12), *tail]
     elif tokens:
         place = F.when(has(tokens[0]), F.instr(low, tokens[0])).otherwise(2147483647)
         keys = [-sum((has(t).cast("int") for t in tokens), F.lit(0)), apart, place, *tail]

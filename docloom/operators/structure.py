@@ -68,11 +68,11 @@ def context_window(paragraphs: DataFrame, hit: Column, before: int, after: int)
 
 def find_clause(paragraphs: DataFrame, anchor: Column, operative: str, forward: int = 3) -> DataFrame:
     """Best anchor paragraph of each document with the text around it (two before, ``forward``
-    after): operative text outside the contents first, then contents, then plain mentions."""
+    after): outside the contents before inside, then with operative text before without."""
     w = W.partitionBy("file_key").orderBy("para")
     rows = paragraphs.withColumn("_before", F.array_join(F.collect_list("content").over(w.rowsBetween(-2, -1)), " ")).withColumn("_after", F.array_join(F.collect_list("content").over(w.rowsBetween(0, forward)), " "))
     rows = rows.filter(anchor).withColumn("_op", F.contains(F.lower("_after"), F.lit(operative))).withColumn("_toc", is_toc_line(F.col("content")))
-    level = F.when(~F.col("_toc") & F.col("_op"), 1).when(F.col("_op"), 2).when(~F.col("_toc"), 3).otherwise(4)
+    level = F.when(~F.col("_toc") & F.col("_op"), 1).when(~F.col("_toc"), 2).when(F.col("_op"), 3).otherwise(4)
     best = rows.withColumn("level", level).groupBy("file_key").agg(F.min_by(F.struct("para", "level", "_before", "_after"), F.struct("level", "para")).alias("b"))
     return best.select("file_key", "b.para", "b.level", F.md5(F.concat_ws(" | ", "b._before", "b._after")).alias("window_key"))
 
@@ -111,20 +111,23 @@ def deal_year(files: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
     Ordered sources: a signature block (the last twelve paragraphs) with a date, an execution
     sentence among the first forty, a bare year among the first three, a YYYYMMDD in the file
-    name, a YYMMDD in the file name.  Without any the year is 'unknown'.
+    name, the latest year in a header or footer, a YYMMDD in the file name.  Without any the
+    year is 'unknown'.  Headers and footers count for their own source only.
     """
     year = r"\b((?:19|20)\d{2})\b"
     last = F.max("para").over(W.partitionBy("file_key"))
-    p = paragraphs.withColumn("_last", last).withColumn("_year", F.nullif(F.regexp_extract("content", year, 1), F.lit("")))
-    where = lambda cond: F.min_by(F.when(cond, F.col("_year")), F.when(cond & F.col("_year").isNotNull(), F.col("para")))
+    p = split_body(paragraphs.withColumn("_last", last)).withColumn("_year", F.nullif(F.regexp_extract("content", year, 1), F.lit("")))
+    body = F.col("part") == "body"
+    where = lambda cond: F.min_by(F.when(body & cond, F.col("_year")), F.when(body & cond & F.col("_year").isNotNull(), F.col("para")))
     by_text = p.filter("_year is not null").groupBy("file_key").agg(
         where((F.col("para") > F.col("_last") - 12) & F.col("content").rlike("(?i)signed|executed")).alias("signature"),
         where((F.col("para") <= 40) & F.col("content").rlike("(?i)dated|entered into")).alias("execution"),
         where(F.col("para") <= 3).alias("preamble"),
+        F.max(F.when(~body, F.array_max(F.regexp_extract_all("content", F.lit(year), 1)))).alias("margin"),
     )
     long, short = F.regexp_extract("filename", r"(?:^|[^0-9])((?:19|20)\d{2})(?:0[1-9]|1[0-2])(?:[0-2]\d|3[01])(?:[^0-9]|$)", 1), F.regexp_extract("filename", r"(?:^|[^0-9])(\d{2})(?:0[1-9]|1[0-2])(?:[0-2]\d|3[01])(?:[^0-9]|$)", 1)
     rows = files.join(by_text, "file_key", "left").withColumn("_long", F.nullif(long, F.lit(""))).withColumn("_short", F.when(short != "", F.concat(F.lit("20"), short)))
-    order = [("signature", "high"), ("execution", "high"), ("preamble", "med"), ("_long", "med"), ("_short", "low")]
+    order = [("signature", "high"), ("execution", "high"), ("preamble", "med"), ("_long", "med"), ("margin", "low"), ("_short", "low")]
     basis, level = F.lit("none"), F.lit("low")
     for name, conf in reversed(order):
         basis = F.when(F.col(name).isNotNull(), name.strip("_")).otherwise(basis)

@@ -118,7 +118,12 @@ def coverage_from_evidence(c):
     return L.coverage_from_evidence(_final(c))
 
 
-@query("work_inputs")
+@query(
+    "work_inputs",
+    """WITH h AS (SELECT file_key, para, last, coalesce(lead(para) OVER (PARTITION BY file_key ORDER BY para) - 1, last) AS to_para FROM (SELECT *, max(para) OVER (PARTITION BY file_key) AS last FROM fx_paragraphs) WHERE contains(lower(content), 'there')),
+ r AS (SELECT h.file_key, h.para AS from_para, to_para, string_agg('{"para":' || p.para || ',"content":' || to_json(content) || '}', ',' ORDER BY p.para) AS ps FROM h JOIN fx_paragraphs p ON p.file_key = h.file_key AND p.para BETWEEN h.para AND to_para GROUP BY ALL)
+ SELECT file_key, '[' || string_agg('{"family":"RW","from_para":' || from_para || ',"to_para":' || to_para || ',"paragraphs":[' || ps || ']}', ',' ORDER BY from_para, to_para) || ']' AS input, count(*)::BIGINT AS ranges FROM r GROUP BY 1""",
+)
 def work_inputs(c):
     low = F.lower("content")
     ranges = heading_ranges(c.paragraphs, F.contains(low, F.lit("there"))).select("file_key", F.lit("RW").alias("family"), "from_para", "to_para")

@@ -37,7 +37,7 @@ _RANKED = (
     + _APPROVED
     + f""" AND i.doc_id % 2 = 0 AND {_HAS.format(t="there")} AND {_HAS.format(t="and")} AND {_HAS.format(t="of")}),
  st AS (SELECT count(*)::DOUBLE AS n, avg(greatest(length(verbatim) - 2, 0)) AS avglen, count(*) FILTER ({_HAS.format(t="there")}) AS h0, count(*) FILTER ({_HAS.format(t="and")}) AS h1 FROM fx_clause_item),
- ranked AS (SELECT rows.*, CASE WHEN {_HAS.format(t="there and of")} THEN 0 ELSE 1 END AS apart, round({_bm25("there", "h0")} + {_bm25("and", "h1")}, 9) AS score FROM rows, st)"""
+ ranked AS (SELECT rows.*, CASE WHEN {_HAS.format(t="there and of")} THEN 0 ELSE 1 END AS apart, round({_bm25("there", "h0")} + {_bm25("and", "h1")}, 12) AS score FROM rows, st)"""
 )
 _BY_SCORE = "apart, score, length(verbatim), file_key, loc_start, item_ref"
 

@@ -46,7 +46,7 @@ def context_windows(c):
 
 
 @query("best_clause_window", f"""WITH w AS (SELECT *, string_agg(content, ' ') OVER (PARTITION BY file_key ORDER BY para ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b, string_agg(content, ' ') OVER (PARTITION BY file_key ORDER BY para ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS a FROM fx_paragraphs),
- r AS (SELECT *, CASE WHEN NOT {_TOC} AND contains(lower(a), 'with') THEN 1 WHEN contains(lower(a), 'with') THEN 2 WHEN NOT {_TOC} THEN 3 ELSE 4 END AS level FROM w WHERE contains(lower(content), 'there'))
+ r AS (SELECT *, CASE WHEN NOT {_TOC} AND contains(lower(a), 'with') THEN 1 WHEN NOT {_TOC} THEN 2 WHEN contains(lower(a), 'with') THEN 3 ELSE 4 END AS level FROM w WHERE contains(lower(content), 'there'))
  SELECT file_key, para, level, md5(coalesce(b, '') || ' | ' || a) AS window_key FROM (SELECT *, row_number() OVER (PARTITION BY file_key ORDER BY level, para) AS k FROM r) WHERE k = 1""")
 def best_clause_window(c):
     return S.find_clause(c.paragraphs, F.contains(F.lower("content"), F.lit("there")), "with")
@@ -66,13 +66,15 @@ def source_kinds(c):
     return c.paragraphs.groupBy(S.source_kind(F.col("content")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("deal_years", """WITH p AS (SELECT *, max(para) OVER (PARTITION BY file_key) AS last, nullif(regexp_extract(content, '\\b((?:19|20)[0-9]{2})\\b', 1), '') AS y FROM fx_paragraphs),
- t AS (SELECT file_key, min_by(y, para) FILTER (para > last - 12 AND regexp_matches(content, '(?i)signed|executed')) AS signature, min_by(y, para) FILTER (para <= 40 AND regexp_matches(content, '(?i)dated|entered into')) AS execution, min_by(y, para) FILTER (para <= 3) AS preamble FROM p WHERE y IS NOT NULL GROUP BY 1),
+@query("deal_years", """WITH p AS (SELECT *, max(para) OVER (PARTITION BY file_key) AS last, nullif(regexp_extract(content, '\\b((?:19|20)[0-9]{2})\\b', 1), '') AS y, list_max(regexp_extract_all(content, '\\b((?:19|20)[0-9]{2})\\b', 1)) AS ym, NOT regexp_matches(content, '^\\[(header|footer)\\]') AS body FROM (SELECT file_key, para, CASE WHEN para % 5 = 0 THEN '[footer] 20' || (10 + para) || ' ' || content ELSE content END AS content FROM fx_paragraphs)),
+ t AS (SELECT file_key, min_by(y, para) FILTER (body AND para > last - 12 AND regexp_matches(content, '(?i)signed|executed')) AS signature, min_by(y, para) FILTER (body AND para <= 40 AND regexp_matches(content, '(?i)dated|entered into')) AS execution, min_by(y, para) FILTER (body AND para <= 3) AS preamble, max(ym) FILTER (NOT body) AS margin FROM p WHERE y IS NOT NULL GROUP BY 1),
  r AS (SELECT f.file_key, t.*, nullif(regexp_extract(filename, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:0[1-9]|1[0-2])(?:[0-2][0-9]|3[01])(?:[^0-9]|$)', 1), '') AS l, nullif(regexp_extract(filename, '(?:^|[^0-9])([0-9]{2})(?:0[1-9]|1[0-2])(?:[0-2][0-9]|3[01])(?:[^0-9]|$)', 1), '') AS s FROM fx_files f LEFT JOIN t ON t.file_key = f.file_key)
- SELECT file_key, coalesce(signature, execution, preamble, l, '20' || s, 'unknown') AS value, CASE WHEN signature IS NOT NULL OR execution IS NOT NULL THEN 'high' WHEN preamble IS NOT NULL OR l IS NOT NULL THEN 'med' ELSE 'low' END AS confidence,
- CASE WHEN signature IS NOT NULL THEN 'signature' WHEN execution IS NOT NULL THEN 'execution' WHEN preamble IS NOT NULL THEN 'preamble' WHEN l IS NOT NULL THEN 'long' WHEN s IS NOT NULL THEN 'short' ELSE 'none' END AS basis FROM r""")
+ SELECT file_key, coalesce(signature, execution, preamble, l, margin, '20' || s, 'unknown') AS value, CASE WHEN signature IS NOT NULL OR execution IS NOT NULL THEN 'high' WHEN preamble IS NOT NULL OR l IS NOT NULL THEN 'med' ELSE 'low' END AS confidence,
+ CASE WHEN signature IS NOT NULL THEN 'signature' WHEN execution IS NOT NULL THEN 'execution' WHEN preamble IS NOT NULL THEN 'preamble' WHEN l IS NOT NULL THEN 'long' WHEN margin IS NOT NULL THEN 'margin' WHEN s IS NOT NULL THEN 'short' ELSE 'none' END AS basis FROM r""")
 def deal_years(c):
-    return S.deal_year(c.files, c.paragraphs)
+    # every fifth paragraph stands for a footer with a date
+    footer = F.concat(F.lit("[footer] 20"), (F.col("para") + 10).cast("string"), F.lit(" "), "content")
+    return S.deal_year(c.files, c.paragraphs.withColumn("content", F.when(F.col("para") % 5 == 0, footer).otherwise(F.col("content"))))
 
 
 @query("governing_value", """WITH s AS (SELECT DISTINCT file_key, v.value FROM fx_paragraphs JOIN (VALUES ('whst','X'),('hand','Y'),('nter','Z')) v(word, value) ON contains(lower(content), word) WHERE contains(lower(content), 'there')),
