@@ -80,13 +80,16 @@ def shingle_coverage(quotes: DataFrame, docs: DataFrame, size: int = 12, step: i
     q = F.col("quote")
     at = F.sequence(F.lit(1), F.greatest(F.length(q) - size + 1, F.lit(1)), F.lit(step))
     wanted = quotes.filter(F.length(q) >= size).select("item_id", F.size(at).alias("n"), F.posexplode(F.transform(at, lambda i: F.substring(q, i, size))).alias("i", "gram"))
-    piece = 256
+    hits = text_grams(docs, size).join(wanted, "gram").select("item_id", "n", "file_key", "i").distinct()
+    return hits.groupBy("item_id", "file_key").agg((F.count(F.lit(1)) / F.first("n")).alias("coverage"))
+
+
+def text_grams(docs: DataFrame, size: int, piece: int = 256) -> DataFrame:
+    """Every string of ``size`` characters of each document (file_key, text), once per piece."""
     starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(piece - size + 1))
     pieces = docs.select("file_key", F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, piece))).alias("piece")).filter(F.length("piece") >= size)
     places = F.sequence(F.lit(1), F.length("piece") - size + 1)
-    grams = pieces.select("file_key", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("piece"), i, size)))).alias("gram"))
-    hits = grams.join(wanted, "gram").select("item_id", "n", "file_key", "i").distinct()
-    return hits.groupBy("item_id", "file_key").agg((F.count(F.lit(1)) / F.first("n")).alias("coverage"))
+    return pieces.select("file_key", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("piece"), i, size)))).alias("gram"))
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -103,16 +106,16 @@ def overlapping_items(items: DataFrame) -> DataFrame:
     y = items.select("file_key", "family", row.alias("y"), F.col("loc_start").alias("at"))
     pairs = x.join(y, ["file_key", "family", "at"]).filter("x.loc_start < at or x.item_ref < y.item_ref").filter("x.item_ref <> y.item_ref and y.loc_start <= y.loc_end and x.loc_start <= x.loc_end")
     first = F.col("x.item_ref") < F.col("y.item_ref")
-    return pairs.select("file_key", F.when(first, F.col("x")).otherwise(F.col("y")).alias("i"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("j"))
+    return pairs.select("file_key", "family", F.when(first, F.col("x")).otherwise(F.col("y")).alias("i"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("j"))
 
 
-def duplicate_quotes(items: DataFrame, least: int = 8) -> DataFrame:
+def duplicate_quotes(items: DataFrame, least: int = 8, also: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of a document's items of one family: same text and node with overlapping ranges, or
     one text inside the other (``least`` characters or more) with overlapping ranges."""
     same = F.expr("i.verbatim = j.verbatim and i.taxonomy_id = j.taxonomy_id")
     inside = F.expr(f"i.verbatim <> j.verbatim and length(i.verbatim) >= {least} and length(j.verbatim) >= {least} and (contains(i.verbatim, j.verbatim) or contains(j.verbatim, i.verbatim))")
     pairs = overlapping_items(items).filter(same | inside)
-    return pairs.select("file_key", F.col("i.item_ref").alias("a_ref"), F.col("j.item_ref").alias("b_ref"), F.when(same, "duplicate").otherwise("contained").alias("code"))
+    return pairs.select("file_key", *also, F.col("i.item_ref").alias("a_ref"), F.col("j.item_ref").alias("b_ref"), F.when(same, "duplicate").otherwise("contained").alias("code"))
 
 
 def range_jaccard(items: DataFrame, least: float = 0.5) -> DataFrame:
