@@ -256,3 +256,59 @@ def promotion_plan(actions: DataFrame, aliases: DataFrame, members: DataFrame, n
     out = rows.select(t, reason.alias("reason"))
     refused = out.filter("reason <> ''").agg((F.count(F.lit(1)) == 0).alias("applied"))
     return out.crossJoin(F.broadcast(refused))
+
+
+def rule_nodes(text: Column, rules: list[tuple[str, str, str | None]]) -> Column:
+    """Nodes (node, pattern, excluding pattern or none) whose rules the folded text meets."""
+    low = F.lower(text)
+    each = [F.when(low.rlike(p) & (~low.rlike(no) if no else F.lit(True)), node) for node, p, no in rules]
+    return F.array_distinct(F.array_compact(F.array(*each)))
+
+
+def finalize_sources(evidence: DataFrame, found: Column, nodes: DataFrame, loose: Column) -> tuple[DataFrame, DataFrame]:
+    """Review of all evidence of a document, each text of a place once: (items, unresolved).
+
+    evidence: file_key, kind (item, candidate, hint, body or annex), family, node (of items),
+    source_id (null: body), para, text; ``found``: array of the nodes that the text speaks for;
+    ``loose``: candidates to drop as no statements of their own.  An item without such nodes
+    keeps its own, but in DEF; of equal evidence the first kind names it.  Unresolved are
+    candidates without nodes, and substantive body or annex texts without nodes that no kept
+    item or candidate stands for, with the families that they were read for.
+    """
+    kinds = ["item", "candidate", "hint", "body", "annex"]
+    prio = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
+    rows = evidence.withColumn("text", F.trim("text")).filter("text <> ''").withColumn("_n", found).withColumn("_p", prio)
+    key = ["file_key", "source_id", "para", "text"]
+    bare = rows.filter(F.size("_n") == 0)
+    own = bare.filter("kind = 'item' and family <> 'DEF'").join(F.broadcast(nodes.select(F.col("taxonomy_id").alias("node"))), "node", "left_semi")
+    named = rows.select(*key, F.explode("_n").alias("taxonomy_id"), "kind", "_p").unionByName(own.select(*key, F.col("node").alias("taxonomy_id"), "kind", "_p"))
+    items = named.groupBy(*key, "taxonomy_id").agg(F.min_by("kind", "_p").alias("kind"))
+    texts = F.col("kind").isin("body", "annex")
+    open_ = bare.filter(((F.col("kind") == "candidate") & ~loose) | (texts & substantive(F.col("text"))))
+    marked = open_.select(*key, "kind", "family", "_p", F.lit(False).alias("_own")).unionByName(own.select(*key, "kind", "family", "_p", F.lit(True).alias("_own")))
+    sums = marked.groupBy(*key).agg(
+        F.max("_own").alias("_own"),
+        F.max((F.col("kind") == "candidate")).alias("_cand"),
+        F.min_by("kind", F.when(~F.col("_own"), F.col("_p"))).alias("kind"),
+        F.array_sort(F.collect_set(F.when(~F.col("_own"), F.col("family")))).alias("families"),
+    )
+    left = sums.filter(F.col("_cand") | ~F.col("_own"))
+    return items, left.select(*key, "kind", F.array_join("families", "|").alias("families"))
+
+
+def finalized_coverage(coverage: DataFrame, items: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """Body status of documents and families after the review: complete where the body was
+    evaluated before or gives evidence now, else not evaluated."""
+    seen = items.filter("source_id is null").select("file_key", F.substring_index("taxonomy_id", ".", 1).alias("family"))
+    seen = seen.union(unresolved.filter("source_id is null").select("file_key", F.explode(F.split("families", r"\|"))))
+    rows = coverage.join(seen.distinct().withColumn("_s", F.lit(True)), ["file_key", "family"], "left")
+    done = (F.col("body_status") != "not_evaluated") | F.coalesce("_s", F.lit(False))
+    return rows.select("file_key", "family", F.col("body_status").alias("before"), F.when(done, "complete").otherwise("not_evaluated").alias("body_status"))
+
+
+def finalized_sources(sources: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """Source status after the review: partial where a text of it is unresolved, complete where it
+    was partial, else as before.  sources: file_key, family, source_id, status."""
+    open_ = unresolved.filter("source_id is not null").select("file_key", "source_id", F.explode(F.split("families", r"\|")).alias("family")).distinct().withColumn("_o", F.lit(True))
+    rows = sources.join(open_, ["file_key", "source_id", "family"], "left")
+    return rows.select("file_key", "family", "source_id", F.col("status").alias("before"), F.when(F.col("_o"), "partial").when(F.col("status") == "partial", "complete").otherwise(F.col("status")).alias("status"))

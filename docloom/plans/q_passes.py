@@ -176,3 +176,53 @@ def promotion_plan(c):
     k = F.col("candidate_id")
     pool = rows.select("candidate_id", F.when(k % 31 == 5, "merged").otherwise("pending").alias("status"), F.when(k % 37 != 5, F.col("sig")).alias("recurrence_key"))
     return P.promotion_plan(plan.select("taxonomy_id", "parent_id"), aliases, members.select("taxonomy_id", "candidate_id"), c.nodes, c.nodes.select(F.col("label").alias("alias")), pool)
+
+
+_NODE_RULES = [("RW.A", r"\bthere\b", None), ("CP.A", r"\bthis\b", r"\bwith\b"), ("DEF.T", "license", None)]
+_FOUND = " || ".join(f"CASE WHEN regexp_matches(lower(text), '{p}'){f' AND NOT regexp_matches(lower(text), {chr(39)}{no}{chr(39)})' if no else ''} THEN ['{n}'] ELSE []::VARCHAR[] END" for n, p, no in _NODE_RULES)
+_FIN = f"""ev0 AS (SELECT file_key, 'item' AS kind, 1 AS p, family, taxonomy_id AS node, NULL::VARCHAR AS source_id, loc_start AS para, verbatim AS content FROM fx_clause_item WHERE doc_id % 2 = 0
+  UNION ALL SELECT evidence_file_key, 'candidate', 2, family, NULL, NULL, loc_start, verbatim FROM fx_candidate WHERE loc_start % 2 = 0
+  UNION ALL SELECT evidence_file_key, 'hint', 3, family, NULL, NULL, loc_start, proposed_ko FROM fx_candidate
+  UNION ALL SELECT file_key, 'body', 4, family, NULL, NULL, para, content FROM fx_paragraphs JOIN (SELECT DISTINCT evidence_file_key AS file_key, family FROM fx_candidate) USING (file_key)
+  UNION ALL SELECT file_key, 'annex', 5, family, NULL, source_id, para, content FROM fx_paragraphs JOIN fx_source_coverage USING (file_key) WHERE para % 5 = 0 AND status = 'complete'),
+ ev AS (SELECT *, trim(content) AS text FROM ev0), ev1 AS (SELECT *, {_FOUND} AS n, {_SUBST} AS subst FROM ev WHERE text <> ''),
+ own AS (SELECT * FROM ev1 WHERE len(n) = 0 AND kind = 'item' AND family <> 'DEF' AND node IN (SELECT taxonomy_id FROM fx_node)),
+ fit AS (SELECT file_key, source_id, para, text, taxonomy_id, min_by(kind, p) AS kind FROM (SELECT file_key, source_id, para, text, unnest(n) AS taxonomy_id, kind, p FROM ev1 UNION ALL SELECT file_key, source_id, para, text, node, kind, p FROM own) GROUP BY ALL),
+ op AS (SELECT file_key, source_id, para, text, kind, family, p, false AS o FROM ev1 WHERE len(n) = 0 AND ((kind = 'candidate' AND length(text) >= 40) OR (kind IN ('body', 'annex') AND subst)) UNION ALL SELECT file_key, source_id, para, text, kind, family, p, true FROM own),
+ unr AS (SELECT file_key, source_id, para, text, min_by(kind, p) FILTER (NOT o) AS kind, string_agg(DISTINCT family, '|' ORDER BY family) FILTER (NOT o) AS families FROM op GROUP BY file_key, source_id, para, text HAVING bool_or(kind = 'candidate') OR NOT bool_or(o))"""
+
+
+def _reviewed(c):
+    head = F.lit(None).cast("string")
+    row = lambda df, kind, family, node, source, para, text: df.select("file_key", F.lit(kind).alias("kind"), F.col(family).alias("family"), node.alias("node"), source.alias("source_id"), F.col(para).alias("para"), F.col(text).alias("text"))
+    cand = c.candidates.withColumnRenamed("evidence_file_key", "file_key")
+    body = c.paragraphs.join(cand.select("file_key", "family").distinct(), "file_key")
+    annex = c.paragraphs.filter("para % 5 = 0").join(c.source_coverage.filter("status = 'complete'").select("file_key", "family", "source_id"), "file_key")
+    ev = (
+        row(c.items.filter("doc_id % 2 = 0"), "item", "family", F.col("taxonomy_id"), head, "loc_start", "verbatim")
+        .unionByName(row(cand.filter("loc_start % 2 = 0"), "candidate", "family", head, head, "loc_start", "verbatim"))
+        .unionByName(row(cand, "hint", "family", head, head, "loc_start", "proposed_ko"))
+        .unionByName(row(body, "body", "family", head, head, "para", "content"))
+        .unionByName(row(annex, "annex", "family", head, F.col("source_id"), "para", "content"))
+    )
+    return P.finalize_sources(ev, P.rule_nodes(F.col("text"), _NODE_RULES), c.nodes, F.length("text") < 40)
+
+
+@query("finalized_items", f"WITH {_FIN} SELECT file_key, source_id, para, md5(text) AS text_key, taxonomy_id, kind FROM fit")
+def finalized_items(c):
+    return _reviewed(c)[0].select("file_key", "source_id", "para", F.md5("text").alias("text_key"), "taxonomy_id", "kind")
+
+
+@query("unresolved_evidence", f"WITH {_FIN} SELECT file_key, source_id, para, md5(text) AS text_key, kind, families FROM unr")
+def unresolved_evidence(c):
+    return _reviewed(c)[1].select("file_key", "source_id", "para", F.md5("text").alias("text_key"), "kind", "families")
+
+
+@query("finalized_coverage", f"WITH {_FIN}, s AS (SELECT file_key, split_part(taxonomy_id, '.', 1) AS family FROM fit WHERE source_id IS NULL UNION SELECT file_key, unnest(string_split(families, '|')) FROM unr WHERE source_id IS NULL) SELECT d.file_key, d.family, body_status AS before, CASE WHEN body_status <> 'not_evaluated' OR s.file_key IS NOT NULL THEN 'complete' ELSE 'not_evaluated' END AS body_status FROM fx_document_coverage d LEFT JOIN s USING (file_key, family)")
+def finalized_coverage(c):
+    return P.finalized_coverage(c.document_coverage, *_reviewed(c))
+
+
+@query("finalized_sources", f"WITH {_FIN}, o AS (SELECT DISTINCT file_key, source_id, unnest(string_split(families, '|')) AS family FROM unr WHERE source_id IS NOT NULL) SELECT s.file_key, s.family, s.source_id, status AS before, CASE WHEN o.file_key IS NOT NULL THEN 'partial' WHEN status = 'partial' THEN 'complete' ELSE status END AS status FROM fx_source_coverage s LEFT JOIN o USING (file_key, source_id, family)")
+def finalized_sources(c):
+    return P.finalized_sources(c.source_coverage.select("file_key", "family", "source_id", "status"), _reviewed(c)[1])

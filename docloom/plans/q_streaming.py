@@ -21,3 +21,21 @@ def distinct_recent(c):
 @query("ingested_documents", "WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\x00-\\x20\\x7F]+', ' ', 'g'))), lambda x: x <> '') AS ps FROM documents) SELECT doc_id, substr(sha256('doc' || doc_id), 1, 16) AS file_key, substr(sha256(array_to_string(ps, chr(10))), 1, 16) AS content_hash, length(text)::INTEGER AS char_count, CASE WHEN len(ps) > 0 THEN 'ok' ELSE 'empty' END AS status FROM p")
 def ingested_documents(c):
     return J.document_rows(c.documents)
+
+
+_LOG = "l AS (SELECT lower(regexp_replace(split_part(text, ' ', 1), '[^a-zA-Z]', '', 'g')) AS kw, CAST((conv_id + turn) % 4 AS INT) AS result_count, 1700000000 + conv_id * 600 + turn * 20 AS s FROM conversations WHERE role = 'user'), k AS (SELECT l.*, kw IN (SELECT lower(variant) FROM fx_term) AS known FROM l)"
+
+
+def _log(c):
+    at = F.timestamp_seconds(F.lit(1700000000) + F.floor(F.col("id") / 100) * 600 + F.col("id") % 100 * 20)
+    return c.query_log.withColumn("ts", at)
+
+
+@query("query_log_windows", f"WITH {_LOG} SELECT make_timestamp((s // 3600) * 3600000000) AS start, count(*)::BIGINT AS n, count(*) FILTER (result_count = 0)::BIGINT AS zero, round(count(*) FILTER (result_count = 0)::DOUBLE / count(*), 4) AS zero_rate, count(*) FILTER (kw <> '' AND NOT known)::BIGINT AS unknown, count(*) FILTER (kw <> '' AND known AND result_count = 0)::BIGINT AS known_zero FROM k GROUP BY s // 3600")
+def query_log_windows(c):
+    return J.query_log_windows(_log(c), c.terms)
+
+
+@query("query_log_terms", f"WITH {_LOG} SELECT kw, known, count(*)::BIGINT AS n, count(*) FILTER (result_count = 0)::BIGINT AS zero, round(avg(result_count), 4) AS mean_results FROM k WHERE kw <> '' GROUP BY ALL")
+def query_log_terms(c):
+    return J.query_log_terms(c.query_log, c.terms)

@@ -54,6 +54,31 @@ def log_windows(log: DataFrame, size: str = "1 hour", late: str = "2 hours", kin
     )
 
 
+def with_known(log: DataFrame, terms: DataFrame) -> DataFrame:
+    """Entries of a query log (kw, result_count) with whether the term list (variant) has the
+    keyword, whatever the case."""
+    known = terms.select(F.lower("variant").alias("_kw")).distinct().withColumn("_known", F.lit(True))
+    return log.join(known, F.lower("kw") == F.col("_kw"), "left").withColumn("known", F.coalesce("_known", F.lit(False))).drop("_kw", "_known")
+
+
+def query_log_windows(log: DataFrame, terms: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Per time window of a query log (ts, kw, result_count): entries, those without a result and
+    their share, entries with an unknown keyword, and known ones without a result.  An empty
+    keyword is neither.  Entries later than ``late`` are dropped from a stream."""
+    named = F.coalesce("kw", F.lit("")) != ""
+    zero = F.coalesce(F.col("result_count") == 0, F.lit(False))
+    rows = with_known(log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), terms)
+    out = rows.groupBy(F.window("ts", size)).agg(F.count(F.lit(1)).alias("n"), F.count_if(zero).alias("zero"), F.count_if(named & ~F.col("known")).alias("unknown"), F.count_if(named & F.col("known") & zero).alias("known_zero"))
+    return out.select(F.col("window.start").alias("start"), "n", "zero", F.round(F.col("zero") / F.col("n"), 4).alias("zero_rate"), "unknown", "known_zero")
+
+
+def query_log_terms(log: DataFrame, terms: DataFrame) -> DataFrame:
+    """Per keyword of a query log: whether it is known, entries, those without a result and the
+    mean of the results.  A running count: a stream gives it in update or complete mode."""
+    rows = with_known(log.filter("kw <> ''"), terms)
+    return rows.groupBy("kw", "known").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("result_count") == 0).alias("zero"), F.round(F.avg("result_count"), 4).alias("mean_results"))
+
+
 def distinct_recent(log: DataFrame, key: list[str], late: str = "2 hours") -> DataFrame:
     """First entry of each condition; in a stream within the watermark."""
     marked = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
