@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hmm, lines, mixing, parsing, quality, sharding, simhash, urlfilter, warc
+from . import decontaminate, hmm, lines, mixing, packing, parsing, quality, sharding, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op9_fuzzy_lines": lines.op9_fuzzy_lines,
     "op10_suffix_repetition": quality.op10_suffix_repetition,
+    "op11_best_fit_packing": packing.op11_best_fit_packing,
 }
 
 ORACLE_SQL = {
