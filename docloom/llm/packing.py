@@ -264,6 +264,13 @@ def _packed(table: pa.Table, capacity: int, level: int, block: int, last: bool)
     return table
 
 
+def _repacked(capacity: int, level: int, last: bool):
+    def run(key, table):
+        return _packed(table, capacity, level, key[0].as_py(), last)
+
+    return run
+
+
 def pack_documents(
     docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, text: str = "text", id_col: str = "doc_id", tokenizer: str | None = None, ranks: str | None = None
 ) -> DataFrame:
@@ -299,13 +306,8 @@ def pack_documents(
     done = [full, now.filter("not again").select(*columns, "sequence_id", "offset")]
     while blocks > 1:
         level, blocks = level + 1, -(-blocks // FAN)
-        last, at = blocks == 1, level
-
-        def again(key, table, at=at, last=last):
-            return _packed(table, capacity, at, key[0].as_py(), last)
-
         opened = now.filter("again").withColumn("block", F.expr(f"block div {FAN}"))
-        now = stored(opened.groupBy("block").applyInArrow(again, schema), f"pack-{level}")
+        now = stored(opened.groupBy("block").applyInArrow(_repacked(capacity, level, blocks == 1), schema), f"pack-{level}")
         done.append(now.filter("not again").select(*columns, "sequence_id", "offset"))
     out = done[0]
     for more in done[1:]:
