@@ -393,13 +393,14 @@ def range_fragments(ranges: DataFrame, paths: tuple) -> DataFrame:
     return ranges.select("rid", "k", "lo", "hi", "body").mapInArrow(run, schema)
 
 
-def _compose_round(last: bool):
-    """FAN neighbouring fragments of a text as one; groups that close come out as rows."""
+def _compose_round(last: bool, width: int):
+    """FAN neighbouring fragments of a text as one; groups that close come out as rows, with the
+    first range behind the seam.  ``width``: ranges that each of the fragments spans."""
 
     def run(key, table):
         rid, k = key[0].as_py(), key[1].as_py()
         rows = table.sort_by("k").to_pylist()
-        tree = [(r["k"], Fragment((r["prefix_a"], r["prefix_b"]), [], (r["suffix_a"], r["suffix_b"]), r["cut"])) for r in rows]
+        tree = [(r["k"] * width, Fragment((r["prefix_a"], r["prefix_b"]), [], (r["suffix_a"], r["suffix_b"]), r["cut"])) for r in rows]
         seams: list[tuple[int, tuple]] = []
         while len(tree) > 1:
             above = []
@@ -461,7 +462,7 @@ def long_texts(docs: DataFrame, paths: tuple, long_bytes: int, range_bytes: int)
     most, rounds = (made.agg(F.max("k")).first()[0] or 0) + 1, []
     while True:
         most = -(-most // FAN)
-        level = level.groupBy("rid", F.expr(f"k div {FAN}").alias("up")).applyInArrow(_compose_round(most == 1), _SEAMS_DDL)
+        level = level.groupBy("rid", F.expr(f"k div {FAN}").alias("up")).applyInArrow(_compose_round(most == 1, FAN ** len(rounds)), _SEAMS_DDL)
         level = stored(level, f"align-round{len(rounds)}")
         rounds.append(level.filter("at is not null").select("rid", "at", "n_links", "codes", "times", "groups"))
         if most == 1:

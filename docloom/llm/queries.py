@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hmm, lines, mixing, packing, parsing, quality, sharding, simhash, urlfilter, warc
+from . import alignment, decontaminate, hmm, lines, mixing, packing, parsing, quality, sharding, simhash, trie, urlfilter, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_fuzzy_lines": lines.op9_fuzzy_lines,
     "op10_suffix_repetition": quality.op10_suffix_repetition,
     "op11_best_fit_packing": packing.op11_best_fit_packing,
+    "op12_cross_tokenizer_alignment": alignment.op12_cross_tokenizer_alignment,
+    "op13_conversation_trie": trie.op13_conversation_trie,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,5 @@ ORACLE_SQL = {
     "op4_warc": warc.OP4_SQL,
     "op8_poisson_mix": mixing.OP8_SQL,
     "op10_suffix_repetition": quality.OP10_SQL,
+    "op13_conversation_trie": trie.OP13_SQL,
 }
