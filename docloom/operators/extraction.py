@@ -140,8 +140,11 @@ def nearest_node(rows: DataFrame, text: str, key: list[str], nodes: DataFrame) -
 def alias_matches(paragraphs: DataFrame, aliases: DataFrame, top: int = 6) -> DataFrame:
     """Aliases that stand in each paragraph, scored by their length without blanks; kept from
     max(4, min(best, 8)) on, the best ``top``."""
+    from docloom.operators.patterns import pattern_hits
+
     size = F.length(F.regexp_replace("alias", r"\s+", ""))
-    hit = paragraphs.join(F.broadcast(aliases), matches(F.col("content"), F.col("alias"))).withColumn("score", size)
+    found = pattern_hits(paragraphs.select("file_key", "para", "content"), aliases.select(F.col("alias").alias("needle"), F.lit(False).alias("bounded")))
+    hit = found.join(aliases.withColumn("needle", F.lower("alias")), "needle").withColumn("score", size)
     w = W.partitionBy("file_key", "para")
     hit = hit.withColumn("_least", F.greatest(F.lit(4), F.least(F.max("score").over(w), F.lit(8)))).filter("score >= _least")
     ranked = hit.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "taxonomy_id", "alias")))
@@ -162,22 +165,30 @@ def whole_documents(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.groupBy("file_key").agg(F.lower(F.array_join(F.transform(parts, lambda x: x["content"]), " ")).alias("folded"))
 
 
-def vocabulary(concepts: DataFrame, terms: DataFrame, nodes: DataFrame, stop: list[str], least: int = 3) -> DataFrame:
-    """Words that speak for a sub-domain: variants of the concepts mapped to a node at or below
-    it, and words of the node labels, without stop words and short ones.
-    concepts: canonical, taxonomy_id; result: sub, needle."""
+def vocabulary(concepts: DataFrame, terms: DataFrame, nodes: DataFrame, stop: list[str], least: int = 4, supplements: DataFrame | None = None) -> DataFrame:
+    """Words that speak for a sub-domain: sub, needle, bounded.
+
+    They come from the variants of the concepts mapped to a node at or below it, from the node
+    labels, and from ``supplements`` (taxonomy_id, term).  Latin terms are cut into words that
+    count only between word bounds, other scripts count as substrings; short Latin words and
+    stop words go.  concepts: canonical, taxonomy_id.
+    """
     from docloom.functions.text import subdomain
+    from docloom.operators.patterns import script_needles
 
-    of_terms = concepts.join(F.broadcast(terms), "canonical").select(subdomain(F.col("taxonomy_id")).alias("sub"), F.lower("variant").alias("needle"))
-    of_labels = nodes.select(subdomain(F.col("taxonomy_id")).alias("sub"), F.explode(F.split(F.lower("label"), r"\s+")).alias("needle"))
-    return of_terms.union(of_labels).filter((F.length("needle") >= least) & ~F.col("needle").isin(stop)).distinct()
+    words = concepts.join(terms, "canonical").select("taxonomy_id", F.col("variant").alias("term")).union(nodes.select("taxonomy_id", "label"))
+    if supplements is not None:
+        words = words.union(supplements.select("taxonomy_id", "term"))
+    return script_needles(words.select(subdomain(F.col("taxonomy_id")).alias("sub"), "term"), stop, least)
 
 
 def absence_suspects(paragraphs: DataFrame, items: DataFrame, words: DataFrame) -> DataFrame:
-    """Sub-domains that a document mentions without an item: file_key, sub, n_words, first_para."""
+    """Sub-domains that a document mentions without an item: file_key, sub, n_words, first_para.
+    words: sub, needle, bounded."""
     from docloom.functions.text import subdomain
+    from docloom.operators.patterns import pattern_hits
 
-    hit = paragraphs.join(F.broadcast(words), F.contains(F.lower("content"), F.col("needle")))
+    hit = pattern_hits(paragraphs.select("file_key", "para", "content"), words).join(words, ["needle", "bounded"])
     seen = hit.groupBy("file_key", "sub").agg(F.count_distinct("needle").alias("n_words"), F.min("para").alias("first_para"))
     covered = items.select("file_key", subdomain(F.col("taxonomy_id")).alias("sub")).distinct()
     return seen.join(covered, ["file_key", "sub"], "left_anti")

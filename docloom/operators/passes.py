@@ -6,39 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.text import compact, fold_ascii_path, matches, nfkc_casefold, subdomain
+from docloom.functions.text import compact, fold_ascii_path, nfkc_casefold, subdomain
 from docloom.operators.clauses import nearest_ancestor
 from docloom.operators.extraction import duplicate_quotes, nearest_node, text_grams
 from docloom.operators.lifecycle import replace_results
-
-#: File names of papers that go with a contract (``_`` stands for blanks, "_", "." or "-").
-ANCILLARY = [
-    "exhibits?",
-    "schedules?",
-    "annex(?:es)?",
-    "appendix",
-    "disclosure_letter",
-    "schedule_of_exceptions",
-    "legal_opinion",
-    "closing_(?:checklist|index)",
-    "compliance_certificate",
-    "term_sheet",
-    "ts",
-    "escrow_agreement",
-    "service_agreement",
-    "non_compete",
-    "confidentiality_(?:and_)?invention",
-    "waiver_letter",
-    "insurance_policy",
-    "power_of_attorney",
-    "side_letter",
-    "series_[a-z0-9]+_certificate",
-    "(?:cps|rcps|preferred|cb|convertible_bond).{0,20}terms?",
-    "교환사채권발행결정",
-    "사채권발행결정",
-]
-_EDGE = "[^0-9A-Za-z가-힣]"
-ANCILLARY_PATTERN = f"(?:^|{_EDGE})(?:{'|'.join(a.replace('_', r'[\s_.-]*') for a in ANCILLARY)})(?:$|{_EDGE})"
+from docloom.operators.patterns import pattern_hits
 
 #: Words that make a short line a statement, and openings of bare headings.
 VERBS = "shall|must|may|will|is|are|has|have|means|agrees|undertakes"
@@ -47,10 +19,27 @@ HEADING = r"^(?:article|section|schedule|annex|exhibit|별지|부록|제\s*[0-9]
 POLARITIES = ["affirmative", "negative", "none_exist", "not_applicable"]
 
 
-def is_primary(path: Column) -> Column:
-    """The file is a contract itself, by its name: no exhibit, letter, certificate and so on."""
-    name = F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
-    return ~F.lower(name).rlike(ANCILLARY_PATTERN)
+def file_words(path: Column) -> Column:
+    """The words of a file's name: runs of letters and digits, folded, without folders."""
+    name = F.lower(F.element_at(F.split(path, r"[/\\]"), -1))
+    return F.filter(F.split(name, "[^0-9a-z가-힣]+"), lambda w: w != "")
+
+
+def is_primary(path: Column, names: list[str], near: tuple[tuple[str, str, int], ...] = ()) -> Column:
+    """Whether the file is a contract itself, by its name.
+
+    ``names``: plain names of accompanying papers; a name counts where its words stand in a row
+    in the file's name, joined or apart ("*" stands for any word).  ``near``: pairs of a name's
+    begin and an end that follows within so many characters.  Both are the user's tables.
+    """
+    said = F.concat(F.lit(" "), F.array_join(file_words(path), " "), F.lit(" "))
+    hit = F.lit(False)
+    for name in names:
+        words = [r"[0-9a-z]+" if w == "*" else w for w in name.split()]
+        hit = hit | said.rlike(" " + " ?".join(words) + " ")
+    for begin, end, gap in near:
+        hit = hit | said.rlike(rf" {begin.replace(' ', ' ?')}.{{0,{gap}}}{end} ")
+    return ~hit
 
 
 def folded(text: Column) -> Column:
@@ -177,8 +166,9 @@ def proposed_items(texts: DataFrame, aliases: DataFrame, meaning: str, absence:
     DEF only.
     """
     t = texts.filter(substantive(F.col("content")) & ((F.col("family") == "DEF") | ~F.lower("content").rlike(meaning)))
-    hit = t.join(F.broadcast(aliases.withColumnRenamed("family", "_f")), (F.col("family") == F.col("_f")) & matches(F.col("content"), F.col("alias")))
     key = ["file_key", "family", "source_id", "para"]
+    found = pattern_hits(t.select(*key, F.col("content").alias("text"), "content"), aliases.select(F.col("alias").alias("needle"), F.lit(False).alias("bounded")), "text")
+    hit = found.join(aliases.withColumn("needle", F.lower("alias")), ["needle", "family"])
     low = F.lower("content")
     polarity = F.when(low.rlike(absence), "none_exist").when(low.rlike(prohibition), "negative").otherwise("affirmative")
     score = F.length(compact(F.col("alias")))

@@ -95,12 +95,15 @@ def folded_documents(c):
 
 
 _CON = [("alpha", "RW.A"), ("beta", "CP.A"), ("omega", "PAY"), ("delta", "COV.A")]
-_VOC = """voc AS (SELECT DISTINCT array_to_string(string_split(taxonomy_id, '.')[1:2], '.') AS sub, needle FROM (SELECT taxonomy_id, lower(variant) AS needle FROM (VALUES ('alpha','RW.A'),('beta','CP.A'),('omega','PAY'),('delta','COV.A')) k(canonical, taxonomy_id) JOIN fx_term USING (canonical) UNION ALL SELECT taxonomy_id, unnest(string_split(lower(label), ' ')) FROM fx_node) WHERE length(needle) >= 3 AND needle NOT IN ('the','node','root'))"""
-_SUS = "sus AS (SELECT * FROM (SELECT file_key, sub, count(DISTINCT needle)::BIGINT AS n_words, min(para) AS first_para FROM fx_paragraphs JOIN voc ON contains(lower(content), needle) GROUP BY ALL) s WHERE NOT EXISTS (SELECT 1 FROM fx_clause_item i WHERE i.file_key = s.file_key AND array_to_string(string_split(taxonomy_id, '.')[1:2], '.') = s.sub))"
+_MORE = [("PAY", "of thing"), ("COV.A", "é"), ("CP", "Haus-und"), ("DEF.T", "ung")]
+_VOC = f"""words AS (SELECT array_to_string(string_split(taxonomy_id, '.')[1:2], '.') AS sub, lower(term) AS term FROM (SELECT taxonomy_id, variant AS term FROM (VALUES {', '.join(map(str, _CON))}) k(canonical, taxonomy_id) JOIN fx_term USING (canonical) UNION ALL SELECT taxonomy_id, label FROM fx_node UNION ALL SELECT * FROM (VALUES {', '.join(map(str, _MORE))}) m(taxonomy_id, term))),
+ voc AS (SELECT DISTINCT sub, needle, true AS bounded FROM (SELECT sub, unnest(regexp_extract_all(term, '[a-z]+')) AS needle FROM words WHERE regexp_matches(term, '[a-z]')) WHERE length(needle) >= 4 AND needle NOT IN ('node','root')
+  UNION SELECT sub, term, false FROM words WHERE NOT regexp_matches(term, '[a-z]'))"""
+_SUS = "sus AS (SELECT * FROM (SELECT file_key, sub, count(DISTINCT needle)::BIGINT AS n_words, min(para) AS first_para FROM fx_paragraphs JOIN voc ON contains(lower(content), needle) AND (NOT bounded OR regexp_matches(lower(content), '(^|[^\\p{L}\\p{N}_])' || needle || '($|[^\\p{L}\\p{N}_])')) GROUP BY ALL) s WHERE NOT EXISTS (SELECT 1 FROM fx_clause_item i WHERE i.file_key = s.file_key AND array_to_string(string_split(taxonomy_id, '.')[1:2], '.') = s.sub))"
 
 
 def _voc(c):
-    return X.vocabulary(c.small(_CON, "canonical string, taxonomy_id string"), c.terms, c.nodes, ["the", "node", "root"])
+    return X.vocabulary(c.small(_CON, "canonical string, taxonomy_id string"), c.terms, c.nodes, ["node", "root"], supplements=c.small(_MORE, "taxonomy_id string, term string"))
 
 
 @query("absence_suspects", f"WITH {_VOC}, {_SUS} SELECT * FROM sus")

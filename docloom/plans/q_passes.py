@@ -13,13 +13,25 @@ _SUB = "array_to_string(string_split({c}, '.')[1:2], '.')"
 _NAME = "CASE doc_id % 6 WHEN 0 THEN 'SPA Exhibit ' || doc_id WHEN 1 THEN 'Disclosure_Letter.' || doc_id WHEN 2 THEN 'sub\\Term-Sheet ' || doc_id WHEN 3 THEN 'exhibition_' || doc_id WHEN 4 THEN 'Series A certificate ' || doc_id ELSE filename END || '.docx'"
 
 
-@query("primary_documents", f"SELECT file_key, name, NOT regexp_matches(lower(split_part(replace(name, '\\', '/'), '/', -1)), '{P.ANCILLARY_PATTERN}') AS is_primary FROM (SELECT file_key, {_NAME} AS name FROM fx_files)")
+#: Names of papers that go with a contract.
+PAPERS = [
+    "exhibit", "exhibits", "schedule", "schedules", "annex", "annexes", "appendix", "disclosure letter", "schedule of exceptions", "legal opinion",
+    "closing checklist", "closing index", "compliance certificate", "term sheet", "ts", "escrow agreement", "service agreement", "non compete",
+    "confidentiality and invention", "confidentiality invention", "waiver letter", "insurance policy", "power of attorney", "side letter",
+    "series * certificate", "교환사채권발행결정", "사채권발행결정",
+]
+#: Securities whose terms go with a contract.
+TERMS_OF = [(kind, "terms?", 20) for kind in ("cps", "rcps", "preferred", "cb", "convertible bond")]
+_PAPER_SQL = "|".join([" " + n.replace("*", "[0-9a-z]+").replace(" ", " ?") + " " for n in PAPERS] + [f" {a.replace(' ', ' ?')}.{{0,{n}}}{b} " for a, b, n in TERMS_OF])
+
+
+@query("primary_documents", f"SELECT file_key, name, NOT regexp_matches(' ' || array_to_string(list_filter(regexp_split_to_array(lower(split_part(replace(name, '\\', '/'), '/', -1)), '[^0-9a-z가-힣]+'), lambda w: w <> ''), ' ') || ' ', '{_PAPER_SQL}') AS is_primary FROM (SELECT file_key, {_NAME} AS name FROM fx_files)")
 def primary_documents(c):
     d = F.col("doc_id")
     n = d.cast("string")
     name = choose(d % 6, {0: "SPA Exhibit ", 1: "Disclosure_Letter.", 2: "sub\\Term-Sheet ", 3: "exhibition_", 4: "Series A certificate "})
     rows = c.files.select("file_key", F.concat(F.when(d % 6 < 5, F.concat(name, n)).otherwise(F.col("filename")), F.lit(".docx")).alias("name"))
-    return rows.select("file_key", "name", P.is_primary(F.col("name")).alias("is_primary"))
+    return rows.select("file_key", "name", P.is_primary(F.col("name"), PAPERS, TERMS_OF).alias("is_primary"))
 
 
 _COLS = ["file_key", "family", "item_ref", "taxonomy_id", "statement_polarity", "verbatim", "loc_start", "loc_end"]
