@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions.ranking import rank_within
 from docloom.functions.text import matches, occurrences
 from docloom.operators.catalog import representatives, searchable
+from docloom.sources.scratch import local_rows, stored
 
 K1, B = 1.2, 0.75
 #: Rank fusion: weight / (FUSION + rank).
@@ -90,15 +90,13 @@ def paragraph_scores(paragraphs: DataFrame, terms: DataFrame) -> DataFrame:
     """Matching paragraphs of each term with their bm25 score (0 for terms under three
     characters, which only match).  terms: term."""
     size = F.greatest(F.length("content") - 2, F.lit(0))
-    total = paragraphs.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(size).alias("avg_len"))
+    n_rows, avg_len = paragraphs.agg(F.count(F.lit(1)), F.avg(size)).first()
     hits = containing(paragraphs, terms.select(F.col("term").alias("needle")).distinct()).withColumnRenamed("needle", "term")
     hits = hits.select("term", "file_key", "para", occurrences(F.col("content"), F.col("term")).alias("tf"), size.alias("len"))
-    hits = hits.persist(StorageLevel.MEMORY_AND_DISK)  # read for frequencies, quantiles, ranks, terms and snippets
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_hits"))
-    # one row for the corpus and one per term: bounded by the query
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))
-    score = bm25(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("n_rows"), F.col("n_hits"))
-    return scored.select("term", "file_key", "para", F.when(F.length("term") >= 3, F.round(score, 9)).otherwise(0.0).alias("score"))
+    hits = stored(hits, "hits")  # read for frequencies, quantiles, ranks, terms and snippets
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_hits"))  # a row for each term of the query
+    score = bm25(F.col("tf"), F.col("len"), F.lit(avg_len), F.lit(float(n_rows)), F.col("n_hits"))
+    return hits.join(F.broadcast(df), "term").select("term", "file_key", "para", F.when(F.length("term") >= 3, F.round(score, 9)).otherwise(0.0).alias("score"))
 
 
 def best_ranks(scores: DataFrame, expanded: DataFrame) -> DataFrame:
@@ -115,10 +113,9 @@ def fused(ranks: DataFrame, n_keywords: int) -> DataFrame:
     return both.filter(F.col("n_kw") == n_keywords).drop("n_kw")
 
 
-def snippets(scores: DataFrame, files: DataFrame, paragraphs: DataFrame, budget: int = SNIPPET, reach: int = 5) -> DataFrame:
-    """Text around each file's first hit: the nearest paragraphs until ``budget`` characters,
-    in their own order, ' / ' between them."""
-    first = scores.join(files.select("file_key"), "file_key", "left_semi").groupBy("file_key").agg(F.min("para").alias("hit"))
+def snippets(first: DataFrame, paragraphs: DataFrame, budget: int = SNIPPET, reach: int = 5) -> DataFrame:
+    """Text around each file's first hit (first: file_key, hit; the files shown): the nearest
+    paragraphs until ``budget`` characters, in their own order, ' / ' between them."""
     near = paragraphs.join(F.broadcast(first), "file_key").filter(F.abs(F.col("para") - F.col("hit")) <= reach)
     w = W.partitionBy("file_key").orderBy(F.abs(F.col("para") - F.col("hit")), "para")
     before = F.coalesce(F.sum(F.length("content")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -127,21 +124,29 @@ def snippets(scores: DataFrame, files: DataFrame, paragraphs: DataFrame, budget:
     return cut.groupBy("file_key").agg(F.array_join(F.transform(parts, lambda x: x["part"]), " / ").alias("snippet"))
 
 
-def keyword_search(paragraphs: DataFrame, files: DataFrame, keywords: DataFrame, terms: DataFrame, limit: int = 20, ctype: str | None = None, lang: str | None = None, exclude_drafts: bool = False, dedup: bool = True, mode: str = "normal", avoid: DataFrame | None = None) -> DataFrame:
+def keyword_search(paragraphs: DataFrame, files: DataFrame, keywords: DataFrame, terms: DataFrame, limit: int = 20, ctype: str | None = None, lang: str | None = None, exclude_drafts: bool = False, dedup: bool = True, mode: str = "normal", avoid: DataFrame | None = None, only: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
     """Ranked files that match all keywords: file_key, filename, score, duplicates,
-    matched_terms, snippet, total_files, total."""
+    matched_terms, snippet, total_files, total.
+
+    ``only``: file_keys that other filters leave (versions, clauses, structured facts).
+    ``scores``: paragraph scores from an index; by default all paragraphs are read.
+    """
     n = keywords.select("kw").distinct().count()
-    # each of these is read several times below; the hits are one row a file, top has ``limit`` rows
-    expanded = expand(keywords, terms, mode, avoid).persist()
-    scores = paragraph_scores(paragraphs, expanded)
-    hits = fused(best_ranks(scores, expanded), n).join(searchable(files, ctype, lang, exclude_drafts), "file_key").persist(StorageLevel.MEMORY_AND_DISK)
+    expanded = local_rows(expand(keywords, terms, mode, avoid))
+    scores = stored(paragraph_scores(paragraphs, expanded) if scores is None else scores, "scores")
+    narrow = searchable(files, ctype, lang, exclude_drafts).select("file_key", "filename", "path", "is_draft", "version_hint", "dup_group")
+    if only is not None:
+        narrow = narrow.join(only.select("file_key").distinct(), "file_key", "left_semi")
+    hits = stored(fused(best_ranks(scores, expanded), n).join(narrow, "file_key"), "search-hits")
     size = hits.groupBy("dup_group").agg(F.count(F.lit(1)).alias("duplicates"))
     shown = representatives(hits, [F.col("score").desc()]) if dedup else hits
-    totals = hits.agg(F.count(F.lit(1)).alias("total_files"), F.count_distinct("dup_group").alias("total"))
-    top = shown.join(size, "dup_group").orderBy(F.col("score").desc(), F.col("file_key")).limit(limit).persist()
-    found = scores.join(F.broadcast(top.select("file_key")), "file_key").groupBy("file_key").agg(F.array_join(F.slice(F.array_sort(F.collect_set("term")), 1, 20), "|").alias("matched_terms"))
-    out = top.join(found, "file_key").join(snippets(scores, top, paragraphs), "file_key").crossJoin(F.broadcast(totals))
-    return out.select("file_key", "filename", F.round("score", 9).alias("score"), "duplicates", "matched_terms", "snippet", "total_files", "total")
+    total_files, total = hits.agg(F.count(F.lit(1)), F.count_distinct("dup_group")).first()
+    top = local_rows(shown.join(size, "dup_group").orderBy(F.col("score").desc(), F.col("file_key")).limit(limit))
+    mine = scores.join(F.broadcast(top.select("file_key")), "file_key", "left_semi")
+    found = mine.groupBy("file_key").agg(F.array_join(F.slice(F.array_sort(F.collect_set("term")), 1, 20), "|").alias("matched_terms"))
+    first = local_rows(mine.groupBy("file_key").agg(F.min("para").alias("hit")))  # a row for each file shown
+    out = top.join(found, "file_key").join(snippets(first, paragraphs), "file_key")
+    return out.select("file_key", "filename", F.round("score", 9).alias("score"), "duplicates", "matched_terms", "snippet", F.lit(total_files).cast("long").alias("total_files"), F.lit(total).cast("long").alias("total"))
 
 
 def zero_hit_terms(paragraphs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -51,9 +51,7 @@ def fused_scores(c):
     return S.fused(S.best_ranks(S.paragraph_scores(c.paragraphs, expanded), expanded), 2).select("file_key", F.round("score", 9).alias("score"))
 
 
-@query(
-    "keyword_search",
-    f"""WITH {_EXP}, {_SCORES}, {_RANKS},
+_SEARCH = f"""WITH {_EXP}, {_SCORES}, {_RANKS},
 fused AS (SELECT file_key, sum(CASE WHEN source = 'exact' THEN 2.0 ELSE 1.0 END / (60 + rank)) AS score FROM best GROUP BY file_key HAVING count(DISTINCT kw) = 2),
 hits AS (SELECT * FROM fused JOIN fx_files USING (file_key) WHERE status = 'ok' AND (is_draft IS NULL OR is_draft <> 1)),
 shown AS (SELECT *, count(*) OVER (PARTITION BY dup_group) AS duplicates FROM hits),
@@ -65,12 +63,55 @@ near AS (SELECT p.file_key, p.para, p.content, coalesce(sum(length(content)) OVE
 snip AS (SELECT file_key, string_agg(substr(content, 1, (240 - before)::BIGINT), ' / ' ORDER BY para) AS snippet FROM near WHERE before < 240 GROUP BY file_key),
 matched AS (SELECT file_key, string_agg(DISTINCT term, '|' ORDER BY term) AS matched_terms FROM scored GROUP BY file_key)
 SELECT file_key, filename, round(score, 9) AS score, duplicates::BIGINT AS duplicates, matched_terms, snippet, (SELECT count(*) FROM hits)::BIGINT AS total_files, (SELECT count(DISTINCT dup_group) FROM hits)::BIGINT AS total
-FROM top JOIN matched USING (file_key) JOIN snip USING (file_key)""",
-)
+FROM top JOIN matched USING (file_key) JOIN snip USING (file_key)"""
+
+
+@query("keyword_search", _SEARCH)
 def keyword_search(c):
     return S.keyword_search(c.paragraphs, c.files, keywords(c), c.terms, exclude_drafts=True)
 
 
+def _index(c):
+    """Postings of the corpus in two batches, as documents arrive."""
+    from docloom.operators import postings
+    from docloom.sources.scratch import new_path
+
+    path = new_path(c.spark, "postings")
+    own = c.paragraphs.join(c.files.select("file_key", "doc_id"), "file_key")
+    for batch in (0, 1):
+        postings.add_to_index(own.filter(F.col("doc_id") % 2 == batch), path, batch)
+    return path
+
+
+def _terms(c):
+    return [r["term"] for r in S.expand(keywords(c), c.terms).select("term").distinct().collect()]
+
+
+@query("postings_search", _SEARCH)
+def postings_search(c):
+    from docloom.operators import postings
+
+    scores = postings.indexed_scores(c.spark, _index(c), _terms(c))
+    return S.keyword_search(c.paragraphs, c.files, keywords(c), c.terms, exclude_drafts=True, scores=scores)
+
+
+@query("postings_scores", f"WITH {_EXP}, {_SCORES} SELECT term, file_key, para, round(score, 6) + 0 AS score FROM scored WHERE length(term) >= 3")
+def postings_scores(c):
+    from docloom.operators import postings
+
+    return postings.indexed_scores(c.spark, _index(c), _terms(c)).select("term", "file_key", "para", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query("postings_top", f"WITH fx_exp AS (SELECT 'whst' AS term), {_SCORES} SELECT term, file_key, para, round(score, 6) + 0 AS score FROM scored ORDER BY scored.score, file_key, para LIMIT 30")
+def postings_top(c):
+    """Top-k report for one term, opening only blocks that can hold a result."""
+    from docloom.operators import postings
+
+    path = _index(c)
+    n = postings.indexed_scores(c.spark, path, ["whst"]).count()
+    return postings.top_paragraphs(c.spark, path, "whst", 30, n)[0].select("term", "file_key", "para", (F.round("score", 6) + 0.0).alias("score"))
+
+
 @query("all_keywords", "SELECT file_key FROM fx_paragraphs JOIN (VALUES ('there'),('with'),('that')) k(kw) ON contains(lower(content), kw) GROUP BY file_key HAVING count(DISTINCT kw) = 3")
 def all_keywords(c):
     words = c.small([("there",), ("with",), ("that",)], "needle string")
