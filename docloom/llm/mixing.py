@@ -20,6 +20,10 @@ SEED = "mix-2024"
 UNIT = float(1 << 52)
 
 
+#: Copies of a document that one row is exploded into at once.
+CHUNK = 4096
+
+
 def uniform(seed: str, *cols: Column) -> Column:
     """A number in [0, 1) from the MD5 of the seed and the columns; null counts as ''."""
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
@@ -35,11 +39,11 @@ def poisson_count(u: Column, rate: Column) -> Column:
     """
     mean = F.greatest(rate, F.lit(0.0))
     high = mean > 700
-    first = F.when(high, F.floor(mean - 12 * F.sqrt(mean))).otherwise(0).cast("int")
+    first = F.when(high, F.floor(mean - 12 * F.sqrt(mean))).otherwise(0).cast("long")
     k = first.cast("double")
     stirling = k - mean + k * F.log(mean / k) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
     least = F.exp(F.when(high, stirling).otherwise(-mean))
-    last = F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int")
+    last = F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("long")
     start = F.struct(least.alias("p"), least.alias("cdf"), first.alias("k"))
 
     def step(acc: Column, j: Column) -> Column:
@@ -47,7 +51,23 @@ def poisson_count(u: Column, rate: Column) -> Column:
         p = acc["p"] * mean / j.cast("double")
         return F.when(more, F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), j.alias("k"))).otherwise(acc)
 
-    return F.coalesce(F.aggregate(F.sequence(first + 1, F.greatest(last, F.lit(1))), start, step, lambda acc: acc["k"]), F.lit(0))
+    return F.coalesce(F.aggregate(F.sequence(first + 1, F.greatest(last, F.lit(1).cast("long"))), start, step, lambda acc: acc["k"]), F.lit(0).cast("long"))
+
+
+def _copies(drawn: DataFrame, most: float) -> DataFrame:
+    """A row for each copy.  A row of more than CHUNK copies is first cut into chunks, which are
+    dealt out, so that no task has to write all copies of one document.  ``most``: the largest
+    rate; where it leaves no such rows the rows are not read twice."""
+    n, chunk = F.col("n_copies"), F.lit(CHUNK).cast("long")
+    zero = F.lit(0).cast("long")
+    few = drawn.filter(n <= chunk).withColumn("copy", F.explode(F.sequence(zero, n - 1)))
+    if most + 12 * math.sqrt(most) + 25 <= CHUNK:
+        return few
+    cut = drawn.filter(n > chunk).withColumn("_chunk", F.explode(F.sequence(zero, F.floor((n - 1) / chunk).cast("long"))))
+    # a stated number of partitions, as chunks are small before they are exploded and would be put together
+    dealt = cut.repartition(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("_id", "_chunk"))
+    many = dealt.withColumn("copy", F.explode(F.sequence(F.col("_chunk") * chunk, F.least((F.col("_chunk") + 1) * chunk, n) - 1))).drop("_chunk")
+    return few.unionByName(many)
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED, source: str = "source", id_col: str = "doc_id", partitions: int | None = None) -> DataFrame:
@@ -75,7 +95,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
         table = sizes.join(F.broadcast(wanted), "_source", "left").select("_source", "_n", (F.coalesce("w", F.lit(0.0)) * total / F.col("_n")).alias("rate"))
     count = poisson_count(F.col("_u"), F.col("rate"))
     drawn = lookup(keyed, table, "_source", "_n").withColumn("_u", uniform(seed, F.col("_id"))).withColumn("n_copies", count).filter("n_copies > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    copies = _copies(drawn, table.agg(F.max("rate")).first()[0] or 0.0)
     key = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("copy").cast("string"))), 1, 16)
     copies = copies.withColumn("shuffle_key", key)
     spread = copies.repartitionByRange(partitions, "shuffle_key") if partitions else copies.repartitionByRange("shuffle_key")
@@ -97,9 +117,9 @@ pois AS (
 u AS (SELECT *, ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {UNIT} AS u FROM documents),
 drawn AS (
   SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, r.rate,
-         (SELECT count(*) FROM pois p WHERE p.source IS NOT DISTINCT FROM u.source AND u.u >= p.cdf)::INTEGER AS n_copies
+         (SELECT count(*) FROM pois p WHERE p.source IS NOT DISTINCT FROM u.source AND u.u >= p.cdf)::BIGINT AS n_copies
   FROM u JOIN rates r ON r.source IS NOT DISTINCT FROM u.source)
-SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, n_copies, rate,
+SELECT doc_id, text, lang, source, n_chars, copy::BIGINT AS copy, n_copies, rate,
        substr(md5('{SEED}|order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy), 1, 16) AS shuffle_key
 FROM drawn, range(n_copies) t(copy)
 """

@@ -216,8 +216,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri: str =
                 data = record_bytes(f"urn:page:{'null' if i is None else i}", u, b, refers)
                 data = member.compress(data) + member.flush()
                 if out is None:
-                    name = f"{root}/part-{context.partitionId():06d}-{len(made):04d}.warc.gz"
-                    temp = f"{root}/_part-{context.partitionId():06d}-{len(made):04d}-{context.taskAttemptId()}"
+                    # another attempt may roll elsewhere: its files have other names, and the manifest those that count
+                    name = f"{root}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{len(made):04d}.warc.gz"
+                    temp = name.replace("/part-", "/_part-").removesuffix(".warc.gz")
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(temp)
                 out.write(data)
@@ -230,8 +231,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri: str =
     return stored(known.select("id", "uri", "body", "top").mapInArrow(write, "file string, records long, bytes long"), "warc-files")
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Columns RECORDS: kind 'record' for each sound record, 'gap' for each quarantined range."""
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True, manifest: DataFrame | None = None) -> DataFrame:
+    """Columns RECORDS: kind 'record' for each sound record, 'gap' for each quarantined range.
+
+    ``manifest`` (file) names the archives that count, as ``write_warc`` returns it; others,
+    which a lost attempt may have left, give no rows.
+    """
     names = [x.split()[0] for x in RECORDS.split(", ")]
     types = dict(zip(names, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True))
 
@@ -253,7 +258,12 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     yield pa.RecordBatch.from_pydict({c: pa.array(rows[c], types[c]) for c in names})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
-    return files.select("path", "content").mapInArrow(read, RECORDS)
+    rows = files.select("path", "content").mapInArrow(read, RECORDS)
+    if manifest is None:
+        return rows
+    base = lambda c: F.substring_index(c, "/", -1)
+    counted = manifest.select(base("file").alias("counted")).distinct()
+    return rows.join(counted, base(rows["file"]) == F.col("counted"), "left_semi")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +274,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     if made.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
-    return read_warc(spark, path, with_payload=False).filter("kind = 'record'").select(
+    return read_warc(spark, path, with_payload=False, manifest=made).filter("kind = 'record'").select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page(F.coalesce("refers_to", F.lit(""))).alias("refers_to")
     )
 
