@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ END_ID = 0
 BLOCK, OPEN, FAN = 1 << 16, 256, 64
 #: Pairs are looked for in sequences of so many pieces at most.
 PAIRED = 24
+#: Sizes that a search looks at for each exchange, from the best fit on, and offers of each.
+TRIED = 32
 #: Bytes of text that are encoded together.
 RUN_BYTES = 8 << 20
 
@@ -142,12 +145,13 @@ class Bins:
                     found = (g - s, -s, b, out, ())
                     if best is None or found[:2] < best[:2]:
                         best = found
-            fits = seen[0] >> s
-            while fits:
+            fits, tries = seen[0] >> s, TRIED
+            while fits and tries:
+                tries -= 1
                 u = s + (fits & -fits).bit_length() - 1
                 if best is not None and u - s > best[0]:
                     break
-                hit = next(((b, parts) for b, parts in offers[u] if sum(parts) < s and len(parts) + len(out) <= 3 and self.capacity - self.gap[b] >= fill - s + sum(parts)), None)
+                hit = next(((b, parts) for b, parts in islice(offers[u], TRIED) if sum(parts) < s and len(parts) + len(out) <= 3 and self.capacity - self.gap[b] >= fill - s + sum(parts)), None)
                 if hit:
                     found = (u - s, sum(hit[1]) - s, hit[0], out, hit[1])
                     if best is None or found[:2] < best[:2]:
