@@ -39,3 +39,25 @@ def query_log_windows(c):
 @query("query_log_terms", f"WITH {_LOG} SELECT kw, known, count(*)::BIGINT AS n, count(*) FILTER (result_count = 0)::BIGINT AS zero, round(avg(result_count), 4) AS mean_results FROM k WHERE kw <> '' GROUP BY ALL")
 def query_log_terms(c):
     return J.query_log_terms(c.query_log, c.terms)
+
+
+@query("streamed_recurrence", """SELECT family || ':' || recommended_parent_id AS recurrence_key, count(DISTINCT evidence_file_key)::BIGINT AS documents, count(DISTINCT evidence_file_key) >= 2 AS promoted FROM fx_candidate GROUP BY 1""")
+def streamed_recurrence(c):
+    """The candidates arrive as a stream; the last count of each key stays."""
+    from docloom.streaming import state
+
+    rows = c.candidates.select(F.concat_ws(":", "family", "recommended_parent_id").alias("recurrence_key"), F.col("evidence_file_key").alias("file_key"))
+    out = state.streamed(rows, state.recurrence_counts, "recurrence")
+    return out.groupBy("recurrence_key").agg(F.max("documents").alias("documents"), F.max_by("promoted", "documents").alias("promoted"))
+
+
+@query("streamed_versions", """WITH s AS (SELECT user_id AS doc_id, substr(event_type, 1, 4) AS content_hash, ts::TIMESTAMP AS t FROM events), n AS (SELECT doc_id, t, max(content_hash) AS content_hash FROM s GROUP BY ALL),
+ c AS (SELECT *, lag(content_hash) OVER (PARTITION BY doc_id ORDER BY t) AS was FROM n), d AS (SELECT * FROM c WHERE was IS NULL OR was <> content_hash)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS version, content_hash, CASE WHEN was IS NULL THEN 'new' ELSE 'changed' END AS change FROM d""")
+def streamed_versions(c):
+    """States of users as versions of documents, arriving in one file."""
+    from docloom.streaming import state
+
+    rows = c.table("events").select(F.col("user_id").cast("long").alias("doc_id"), F.substring("event_type", 1, 4).alias("content_hash"), F.col("ts").cast("timestamp").alias("at"))
+    out = state.streamed(rows, lambda s: state.document_versions(s, "36500 days", "36500 days"), "versions", files=1)
+    return out.select("doc_id", "version", "content_hash", "change")

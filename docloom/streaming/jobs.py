@@ -23,15 +23,30 @@ def document_paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select(key, F.posexplode(paragraphs_of(F.col("text"))).alias("para", "content")).select("file_key", (F.col("para") + 1).alias("para"), "content")
 
 
-def ingest(stream: DataFrame, files_path: str, paragraphs_path: str, checkpoint: str):
+def one_per_document(batch: DataFrame, order: str | None = None) -> DataFrame:
+    """Of the rows of a doc_id the one with the largest ``order`` (a column), ties by text."""
+    by = F.struct(*([F.col(order)] if order else []), F.coalesce("text", F.lit("")))
+    row = F.struct(*[F.col(c) for c in batch.columns])
+    return batch.groupBy("doc_id").agg(F.max_by(row, by).alias("r")).select("r.*")
+
+
+def ingest(stream: DataFrame, files_path: str, paragraphs_path: str, checkpoint: str, order: str | None = None, enrich: Callable[[DataFrame], DataFrame] | None = None):
     """File-source stream into two tables.  Each micro-batch writes a folder of its own number, so
-    a batch that is run again replaces what it wrote; readers take the newest row of a key."""
+    a batch that is run again replaces what it wrote; readers take the newest row of a key.  A
+    document that comes twice in one batch counts once: the row with the largest ``order``.
+
+    ``enrich`` adds columns to the documents before they are recorded (type, language, version);
+    they are kept beside the record's own.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        document_rows(batch).withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{files_path}/batch={number:09d}")
-        document_paragraphs(batch).withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{paragraphs_path}/batch={number:09d}")
-        batch.unpersist()
+        once = one_per_document(batch, order).persist()
+        records = document_rows(once)
+        if enrich is not None:
+            records = records.join(enrich(once).drop(*[c for c in records.columns if c != "doc_id"], "text"), "doc_id", "left")
+        records.withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{files_path}/batch={number:09d}")
+        document_paragraphs(once).withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{paragraphs_path}/batch={number:09d}")
+        once.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -55,3 +55,36 @@ def test_zero_values_count(spark):
     rows = spark.createDataFrame([("2024-01-01 00:10:00", 1, "q", 0.0), ("2024-01-01 00:20:00", 1, "q", None), ("2024-01-01 00:30:00", 2, "q", 3.0)], "ts string, user_id int, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     row = jobs.log_windows(rows).first()
     assert (row["n"], row["zero"], row["users"], row["total"]) == (3, 2, 2, 3.0)
+
+
+def test_a_document_twice_in_one_batch_counts_once(spark, tmp_path):
+    schema = "doc_id long, text string, arrived int"
+    spark.createDataFrame([(1, "old one\nsecond", 1), (1, "new", 2), (2, "x", 1), (2, "x", 1), (3, None, 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    mark = lambda d: d.withColumn("kind", F.lit("note"))
+    jobs.ingest(stream, str(tmp_path / "files"), str(tmp_path / "paras"), str(tmp_path / "cp"), order="arrived", enrich=mark).awaitTermination()
+    paras = spark.read.parquet(str(tmp_path / "paras"))
+    assert sorted(r["content"] for r in paras.collect()) == ["new", "x"]
+    files = spark.read.parquet(str(tmp_path / "files"))
+    assert files.count() == 3 and {(r["kind"], r["arrived"]) for r in files.collect()} == {("note", 1), ("note", 2)}
+
+
+def test_state_counts_and_expires(spark, tmp_path):
+    from docloom.streaming import state
+
+    rows = spark.createDataFrame([("k", f"d{i % 50}") for i in range(400)] + [("j", "a"), (None, "a"), ("j", None)], "recurrence_key string, file_key string")
+    out = state.streamed(rows, state.recurrence_counts, "test", files=5)
+    last = {r["recurrence_key"]: (r["documents"], r["promoted"]) for r in out.orderBy("documents").collect()}
+    assert last == {"k": (50, True), "j": (1, False)}
+    at = lambda day: f"2024-01-{day:02d} 00:00:00"
+    days = [[(1, "a", at(1)), (2, "a", at(1)), (2, "b", at(1))], [(1, "a", at(2)), (1, "b", at(3))], [(3, "z", at(28))], [(3, "z", at(29))], [(3, "y", at(30))]]
+    schema = "doc_id long, content_hash string, at string"
+    for i, d in enumerate(days):
+        spark.createDataFrame(d, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")).withColumn("at", F.to_timestamp("at"))
+    seen = []
+    q = state.document_versions(stream, "10 days", "1 hour").writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend((r["doc_id"], r["version"], r["content_hash"], r["change"]) for r in df.collect()))
+    q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(x for x in seen if x[0] == 1) == [(1, 1, "a", "new"), (1, 2, "b", "changed"), (1, 2, "b", "missing")]
+    assert sorted(x for x in seen if x[0] == 2) == [(2, 1, "b", "missing"), (2, 1, "b", "new")]
+    assert [x for x in seen if x[0] == 3] == [(3, 1, "z", "new"), (3, 2, "y", "changed")]
