@@ -12,11 +12,17 @@ from docloom.operators.stats import blocked_candidates
 
 
 def subtree(nodes: DataFrame, root: str, include_root: bool = True) -> DataFrame:
-    """Nodes below ``root`` by parent links; a recursive query."""
-    nodes.createOrReplaceTempView("docloom_nodes")
+    """Nodes at and below ``root`` by parent links, with their depth; a recursive query.
+
+    Where nodes have a status only active ones count, and what hangs below a retired node does
+    not.  Parents that form a cycle end where a path meets itself; paths may be of any length.
+    """
+    live = nodes.filter("status = 'active'") if "status" in nodes.columns else nodes
     out = nodes.sparkSession.sql(
-        "WITH RECURSIVE t(taxonomy_id, depth) AS (SELECT taxonomy_id, 0 FROM docloom_nodes WHERE taxonomy_id = :root UNION ALL SELECT n.taxonomy_id, t.depth + 1 FROM docloom_nodes n JOIN t ON n.parent_id = t.taxonomy_id) SELECT * FROM t",
+        "WITH RECURSIVE t(taxonomy_id, depth, path) MAX RECURSION LEVEL 100000 AS (SELECT taxonomy_id, 0, array(taxonomy_id) FROM {live} WHERE taxonomy_id = :root"
+        " UNION ALL SELECT n.taxonomy_id, t.depth + 1, array_append(t.path, n.taxonomy_id) FROM {live} n JOIN t ON n.parent_id = t.taxonomy_id WHERE NOT array_contains(t.path, n.taxonomy_id)) SELECT taxonomy_id, depth FROM t",
         {"root": root},
+        live=live.select("taxonomy_id", "parent_id"),
     )
     return out if include_root else out.filter("depth > 0")
 

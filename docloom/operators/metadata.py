@@ -92,6 +92,63 @@ def structured_filter(files: DataFrame, meta: DataFrame, party: str | None = Non
     return rows.select("file_key", answer.alias("answer"), decided.alias("decided_by"))
 
 
+NORMALISED = "map<string,struct<present:boolean,normalized:struct<cap_pct_of_price:double,survival_months:double,law:string,forum:string,institution_or_court:string>>>"
+#: Clause tags that the facts stand under.
+FACT_TAGS = {"indemnity": "indemnity", "warranty": "warranty", "law": "law", "forum": "forum"}
+
+
+def _within(value: Column, least: float | None, most: float | None) -> Column:
+    """Null without a value; a missing bound does not count."""
+    return F.when(value.isNotNull(), (value >= least if least is not None else F.lit(True)) & (value <= most if most is not None else F.lit(True)))
+
+
+def _says(value: Column, query: str) -> Column:
+    from docloom.functions.text import unified
+
+    return F.coalesce(F.contains(F.lower(unified(value)), F.lower(unified(F.lit(query)))), F.lit(False))
+
+
+def facts_filter(
+    files: DataFrame, meta: DataFrame, party: str | None = None, role: str | None = None, method: str | None = None, amount: tuple = (None, None), cap_pct: tuple = (None, None),
+    survival_months: tuple = (None, None), law: str | None = None, forum: str | None = None, tags: dict[str, str] = FACT_TAGS, version: int = 3,
+) -> DataFrame:
+    """file_key, answer and decided_by for all filters on extracted facts, in this order.
+
+    ``amount``, ``cap_pct`` and ``survival_months`` are (least, most), either may be None.  One
+    party must fit both name and role.  A fact that was not evaluated, or metadata older than
+    ``version``, gives needs_review.  The cap counts only for an indemnity that is present; the
+    survival is the warranty's, else the indemnity's.
+    """
+    for name, (least, most) in (("amount", amount), ("cap_pct", cap_pct), ("survival_months", survival_months)):
+        if any(x is not None and (isinstance(x, bool) or not isinstance(x, (int, float)) or x < 0) for x in (least, most)):
+            raise ValueError(f"{name} takes numbers that are not negative")
+        if least is not None and most is not None and least > most:
+            raise ValueError(f"the least {name} is above the most")
+    rows = files.filter("status = 'ok'").join(parsed(meta).withColumn("facts", F.from_json("clause_map_json", NORMALISED)), "file_key", "left")
+    deal = F.when(F.col("consideration.evaluated"), F.col("consideration"))
+    fact = lambda tag: F.element_at("facts", tags[tag])
+    checks: list[tuple[str, Column]] = [("version", F.when(F.coalesce("meta_schema_version", F.lit(0)) >= version, F.lit(True)))]
+    if party is not None or role is not None:
+        fits = lambda p: (_says(p["name"], party) if party is not None else F.lit(True)) & (_says(p["role"], role) if role is not None else F.lit(True))
+        checks.append(("party", F.exists(F.when(F.col("parties.evaluated"), F.col("parties.items")), fits)))
+    if method is not None:
+        checks.append(("method", F.exists(deal["payment_methods"], lambda m: _says(m, method))))
+    if amount != (None, None):
+        checks.append(("amount", _within(deal["amount_value"], *amount)))
+    if cap_pct != (None, None):
+        checks.append(("cap_pct", _within(F.when(fact("indemnity")["present"], fact("indemnity")["normalized"]["cap_pct_of_price"]), *cap_pct)))
+    if survival_months != (None, None):
+        checks.append(("survival_months", _within(F.coalesce(*[fact(t)["normalized"]["survival_months"] for t in ("warranty", "indemnity")]), *survival_months)))
+    if law is not None:
+        said = fact("law")["normalized"]["law"]
+        checks.append(("law", F.when(said.isNotNull(), _says(said, law))))
+    if forum is not None:
+        where = [fact("forum")["normalized"][c] for c in ("forum", "institution_or_court")]
+        checks.append(("forum", F.when(where[0].isNotNull() | where[1].isNotNull(), _says(where[0], forum) | _says(where[1], forum))))
+    answer, decided = tri_state(checks)
+    return rows.select("file_key", answer.alias("answer"), decided.alias("decided_by"))
+
+
 def review_sample(answers: DataFrame, n: int = SAMPLE) -> DataFrame:
     """Counts of the answers, and the first n rows to review with whether more exist."""
     totals = answers.agg(F.count_if(F.col("answer") == "match").alias("matches"), F.count_if(F.col("answer") == "needs_review").alias("reviews"))

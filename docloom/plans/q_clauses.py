@@ -40,6 +40,20 @@ def node_subtree(c):
     return t.join(counts, "taxonomy_id", "left").select("taxonomy_id", "depth", F.coalesce("items", F.lit(0)).alias("items"))
 
 
+@query("active_subtree", """WITH RECURSIVE n AS (SELECT *, CASE WHEN taxonomy_id = 'CP.A' THEN 'retired' ELSE 'active' END AS status FROM fx_node UNION ALL SELECT 'CP.A.Z', 'CP.A', 'CP', 'below retired', 'active' UNION ALL SELECT 'CP.B', 'CP', 'CP', 'b', 'active' UNION ALL SELECT 'CP.B.C', 'CP.B', 'CP', 'c', 'active'),
+ t AS (SELECT taxonomy_id, 0 AS depth FROM n WHERE taxonomy_id = 'CP' UNION ALL SELECT n.taxonomy_id, t.depth + 1 FROM n JOIN t ON n.parent_id = t.taxonomy_id WHERE n.status = 'active'),
+ leaf AS (SELECT n.taxonomy_id, NOT EXISTS (SELECT 1 FROM n k WHERE k.parent_id = n.taxonomy_id AND k.status = 'active') AS is_leaf FROM n)
+ SELECT t.taxonomy_id, depth, is_leaf, count(i.item_ref)::BIGINT AS items FROM t JOIN leaf USING (taxonomy_id) LEFT JOIN fx_clause_item i ON i.taxonomy_id = t.taxonomy_id GROUP BY ALL""")
+def active_subtree(c):
+    """Active nodes below a root, whether each is a leaf (no active child), and their items."""
+    more = c.small([("CP.A.Z", "CP.A", "CP", "below retired"), ("CP.B", "CP", "CP", "b"), ("CP.B.C", "CP.B", "CP", "c")], "taxonomy_id string, parent_id string, family string, label string")
+    nodes = c.nodes.union(more).withColumn("status", F.when(F.col("taxonomy_id") == "CP.A", "retired").otherwise("active"))
+    inner = nodes.filter("status = 'active' and parent_id is not null").select(F.col("parent_id").alias("taxonomy_id")).distinct().withColumn("inner", F.lit(True))
+    counts = c.items.groupBy("taxonomy_id").agg(F.count(F.lit(1)).alias("items"))
+    rows = C.subtree(nodes, "CP").join(inner, "taxonomy_id", "left").join(counts, "taxonomy_id", "left")
+    return rows.select("taxonomy_id", "depth", F.col("inner").isNull().alias("is_leaf"), F.coalesce("items", F.lit(0)).alias("items"))
+
+
 @query("resolve_nodes", "WITH w AS (SELECT DISTINCT CASE doc_id % 5 WHEN 0 THEN 'RW.A' WHEN 1 THEN 'node a' WHEN 2 THEN 'Leaf  AX' WHEN 3 THEN 'nope' ELSE 'odd name' END AS value FROM documents), n AS (SELECT taxonomy_id, lower(taxonomy_id) AS name FROM fx_node UNION SELECT taxonomy_id, lower(label) FROM fx_node UNION SELECT 'PAY', 'odd name') SELECT value, CASE WHEN count(taxonomy_id) = 1 THEN min(taxonomy_id) END AS taxonomy_id, CASE count(taxonomy_id) WHEN 0 THEN 'not_found' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS state, coalesce(string_agg(taxonomy_id, '|' ORDER BY taxonomy_id), '') AS choices FROM w LEFT JOIN n ON name = regexp_replace(lower(value), ' +', ' ', 'g') GROUP BY value")
 def resolve_nodes(c):
     m = F.col("doc_id") % 5

@@ -65,6 +65,26 @@ def structured_filter(c):
     return _structured(c)
 
 
+_FACT_JSON = """'{"indemnity":{"present":' || CASE WHEN d % 4 = 2 THEN 'false' ELSE 'true' END || CASE WHEN d % 7 = 0 THEN '}' ELSE ',"normalized":{"cap_pct_of_price":' || (d % 31) || CASE WHEN d % 5 = 1 THEN ',"survival_months":' || (d % 37) ELSE '' END || '}}' END
+ || CASE WHEN d % 3 = 1 THEN ',"warranty":{"normalized":{"survival_months":' || (d % 25) || '}}' ELSE '' END || CASE WHEN d % 6 = 5 THEN '' ELSE ',"law":{"normalized":{"law":"' || CASE WHEN d % 2 = 0 THEN 'Laws of  Korea' ELSE 'English law' END || '"}}' END
+ || ',"forum":{"normalized":{' || CASE d % 4 WHEN 0 THEN '"forum":"court"' WHEN 1 THEN '"institution_or_court":"Seoul Court"' WHEN 2 THEN '"forum":"arbitration"' ELSE '' END || '}}}'"""
+_FACTS = f"""m AS (SELECT f.file_key, d, meta_schema_version AS v, parties_json::JSON AS p, consideration_json::JSON AS c, ({_FACT_JSON})::JSON AS j FROM (SELECT *, doc_id AS d FROM fx_files WHERE status = 'ok') f LEFT JOIN fx_doc_meta m USING (file_key)),
+ k AS (SELECT file_key, CASE WHEN coalesce(v, 0) >= 3 THEN true END AS k0, CASE WHEN (p->>'evaluated')::BOOLEAN THEN contains(lower(p->'items'->0->>'name'), 'src') AND contains(lower(p->'items'->0->>'role'), 'buy') END AS k1,
+  CASE WHEN (c->>'evaluated')::BOOLEAN AND json_exists(c, '$.payment_methods') THEN true END AS k2, CASE WHEN (c->>'evaluated')::BOOLEAN THEN (c->>'amount_value')::DOUBLE BETWEEN 5e7 AND 1e12 END AS k3,
+  CASE WHEN (j->'indemnity'->>'present')::BOOLEAN THEN (j->'indemnity'->'normalized'->>'cap_pct_of_price')::DOUBLE <= 28 END AS k4,
+  coalesce((j->'warranty'->'normalized'->>'survival_months')::DOUBLE, (j->'indemnity'->'normalized'->>'survival_months')::DOUBLE) BETWEEN 2 AND 30 AS k5,
+  contains(lower(regexp_replace(j->'law'->'normalized'->>'law', ' +', ' ', 'g')), 'of korea') AS k6,
+  CASE WHEN coalesce(j->'forum'->'normalized'->>'forum', j->'forum'->'normalized'->>'institution_or_court') IS NOT NULL THEN contains(lower(coalesce(j->'forum'->'normalized'->>'forum', '') || '|' || coalesce(j->'forum'->'normalized'->>'institution_or_court', '')), 'court') END AS k7 FROM m)"""
+_FACT_NAMES = ["version", "party", "method", "amount", "cap_pct", "survival_months", "law", "forum"]
+
+
+@query("facts_filter", f"WITH {_FACTS} SELECT file_key, CASE {' '.join(f"WHEN k{i} IS NULL THEN 'needs_review' WHEN NOT k{i} THEN 'no_match'" for i in range(8))} ELSE 'match' END AS answer, CASE {' '.join(f"WHEN k{i} IS NULL OR NOT k{i} THEN '{n}'" for i, n in enumerate(_FACT_NAMES))} END AS decided_by FROM k")
+def facts_filter(c):
+    """All ten structured filters at once."""
+    meta = c.doc_meta.join(c.files.select("file_key", F.col("doc_id").alias("d")), "file_key").withColumn("clause_map_json", F.expr(_FACT_JSON))
+    return M.facts_filter(c.files, meta, party="SRC", role="Buy", method="Cash", amount=(5e7, 1e12), cap_pct=(None, 28), survival_months=(2, 30), law="OF  korea", forum="court")
+
+
 @query("structured_review", f"WITH {_TRI}, t AS (SELECT count(*) FILTER (answer = 'match')::BIGINT AS matches, count(*) FILTER (answer = 'needs_review')::BIGINT AS reviews FROM ans) SELECT a.*, t.*, reviews > 100 AS truncated FROM (SELECT * FROM ans WHERE answer = 'needs_review' ORDER BY file_key LIMIT 100) a, t")
 def structured_review(c):
     return M.review_sample(_structured(c))

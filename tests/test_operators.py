@@ -215,3 +215,29 @@ def test_listing_and_kinds(spark, tmp_path):
 
 def test_dictionary_rows():
     assert readers.dictionary_rows([{"canonical": "x", "kind": "k", "ko": ["가"], "en": ["a", "b"], "expansion_strength": "broad"}]) == [("x", "가", "k", "broad", "ko"), ("x", "a", "k", "broad", "en"), ("x", "b", "k", "broad", "en")]
+
+
+def test_subtree_with_cycle_depth_and_status(spark):
+    from docloom.operators.clauses import subtree
+
+    rows = [(f"n{i}", f"n{i - 1}" if i else "n150", "active") for i in range(151)] + [("off", "n3", "retired"), ("below", "off", "active")]
+    nodes = spark.createDataFrame(rows, "taxonomy_id string, parent_id string, status string")
+    got = {r["taxonomy_id"]: r["depth"] for r in subtree(nodes, "n0").collect()}
+    assert got == {f"n{i}": i for i in range(151)}
+    assert subtree(nodes, "off").count() == 0 and subtree(nodes, "n150", include_root=False).count() == 150
+
+
+def test_facts_filter_bounds(spark):
+    import pytest
+
+    from docloom.operators import metadata as M
+
+    files = spark.createDataFrame([("a", "ok"), ("b", "ok"), ("c", "ok"), ("d", "error")], "file_key string, status string")
+    people = '{"evaluated":true,"items":[{"name":"X","role":"seller"},{"name":"Y","role":"buyer"}]}'
+    meta = spark.createDataFrame([("a", 3, people, None, '{"indemnity":{"present":true,"normalized":{"cap_pct_of_price":"ten"}}}'), ("b", 2, people, None, None)], "file_key string, meta_schema_version int, parties_json string, consideration_json string, clause_map_json string")
+    answers = lambda **f: {r["file_key"]: (r["answer"], r["decided_by"]) for r in M.facts_filter(files, meta, **f).collect()}
+    assert answers(party="x", role="buyer") == {"a": ("no_match", "party"), "b": ("needs_review", "version"), "c": ("needs_review", "version")}
+    assert answers(party="y", role="buyer")["a"] == ("match", None) and answers(cap_pct=(1, None))["a"] == ("needs_review", "cap_pct")
+    for wrong in ({"amount": (2, 1)}, {"cap_pct": (-1, None)}, {"survival_months": (True, None)}):
+        with pytest.raises(ValueError):
+            M.facts_filter(files, meta, **wrong)
