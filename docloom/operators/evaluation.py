@@ -13,16 +13,45 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _grams(text: Column, size: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+
+
+def _contained(short: DataFrame, long: DataFrame, least: int) -> DataFrame:
+    """Pairs of a document in which the text of ``short`` (s_ref, s_text) stands in that of
+    ``long`` (l_ref, l_text): the short one's gram of least hash must be among the long one's."""
+    some = F.transform(_grams(F.col("s_text"), least), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram")))
+    probe = short.filter(F.length("s_text") >= least).withColumn("gram", F.array_min(some)["gram"])
+    held = long.filter(F.length("l_text") >= least).select("file_key", "l_ref", F.explode(_grams(F.col("l_text"), least)).alias("gram"))
+    near = probe.join(held, ["file_key", "gram"]).join(long.select("file_key", "l_ref", "l_text"), ["file_key", "l_ref"])
+    return near.filter(F.contains("l_text", F.col("s_text"))).select("file_key", "s_ref", "l_ref")
+
+
 def match_answers(gold: DataFrame, rows: DataFrame, least: int = 8) -> DataFrame:
     """How a result answers a gold item of the same file: 'text' (equal folded text), 'contained'
     (one inside the other, ``least`` characters or more), 'range' (overlap in the same
     sub-domain); the first that holds.  gold: gt_id, file_key, verbatim, loc_start, loc_end,
-    taxonomy_id; rows: the same with ref."""
-    g = gold.select("file_key", "gt_id", fold(F.col("verbatim")).alias("_g"), F.col("loc_start").alias("_gs"), F.col("loc_end").alias("_ge"), subdomain(F.col("taxonomy_id")).alias("_gd"))
-    r = rows.select("file_key", "ref", fold(F.col("verbatim")).alias("_r"), F.col("loc_start").alias("_rs"), F.col("loc_end").alias("_re"), subdomain(F.col("taxonomy_id")).alias("_rd"))
-    contained = (F.least(F.length("_g"), F.length("_r")) >= least) & (F.contains("_g", F.col("_r")) | F.contains("_r", F.col("_g")))
-    rule = F.when(F.col("_g") == F.col("_r"), "text").when(contained, "contained").when(F.expr("_gs <= _re and _rs <= _ge and _gd = _rd"), "range")
-    return g.join(r, "file_key").withColumn("rule", rule).filter("rule is not null").select("gt_id", "file_key", "ref", "rule")
+    taxonomy_id; rows: the same with ref.
+
+    Each rule has a key of its own (the text; a gram of the shorter text; the later range's
+    first paragraph), so no document's items are all held against each other.
+    """
+    g = gold.select("file_key", "gt_id", fold(F.col("verbatim")).alias("text"), "loc_start", "loc_end", subdomain(F.col("taxonomy_id")).alias("sub"))
+    r = rows.select("file_key", "ref", fold(F.col("verbatim")).alias("text"), "loc_start", "loc_end", subdomain(F.col("taxonomy_id")).alias("sub"))
+    pair = ["file_key", "gt_id", "ref"]
+    same = g.select("file_key", "gt_id", "text").join(r.select("file_key", "ref", "text"), ["file_key", "text"]).select(*pair, F.lit(1).alias("rule"))
+    texts = lambda df, ref, side: df.select("file_key", F.col(ref).alias(f"{side}_ref"), F.col("text").alias(f"{side}_text"))
+    inner = _contained(texts(g, "gt_id", "s"), texts(r, "ref", "l"), least).select("file_key", F.col("s_ref").alias("gt_id"), F.col("l_ref").alias("ref"), F.lit(2).alias("rule"))
+    outer = _contained(texts(r, "ref", "s"), texts(g, "gt_id", "l"), least).select("file_key", F.col("l_ref").alias("gt_id"), F.col("s_ref").alias("ref"), F.lit(2).alias("rule"))
+    spans = lambda df, ref, side: df.filter("loc_start <= loc_end").select("file_key", "sub", ref, F.col("loc_start").alias(f"{side}_lo"), F.col("loc_end").alias(f"{side}_hi"))
+    gs, rs = spans(g, "gt_id", "g"), spans(r, "ref", "r")
+    key = ["file_key", "sub", "at"]
+    later_r = gs.withColumn("at", F.explode(F.sequence("g_lo", "g_hi"))).join(rs.withColumn("at", F.col("r_lo")), key)
+    later_g = rs.withColumn("at", F.explode(F.sequence("r_lo", "r_hi"))).join(gs.withColumn("at", F.col("g_lo")), key)
+    met = later_r.select(*pair).unionByName(later_g.select(*pair)).withColumn("rule", F.lit(3))
+    every = same.unionByName(inner).unionByName(outer).unionByName(met)
+    names = F.create_map(*[F.lit(x) for kv in ((1, "text"), (2, "contained"), (3, "range")) for x in kv])
+    return every.groupBy(*pair).agg(F.min("rule").alias("rule")).select("gt_id", "file_key", "ref", names[F.col("rule")].alias("rule"))
 
 
 def same_text_anywhere(gold: DataFrame, rows: DataFrame) -> DataFrame:

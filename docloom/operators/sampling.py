@@ -30,13 +30,26 @@ def balanced_quotas(strata: DataFrame, total: int, key: str = "stratum", size: s
     return strata.join(taken, key, "left").select(key, size, F.coalesce("quota", F.lit(0)).alias("quota"))
 
 
+def first_of_rounds(rows: DataFrame, stratum: str, depth: str, quotas: DataFrame, order: list[Column]) -> DataFrame:
+    """The first ``quota`` rows of each stratum by (depth, order), with their place.
+
+    A histogram of depths says where the quota is reached; deeper rows go before anything is
+    ordered, and rows are numbered within their depth.  quotas: stratum, quota.
+    """
+    counts = rows.groupBy(stratum, depth).agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy(stratum).orderBy(depth).rowsBetween(W.unboundedPreceding, -1)  # over depths, not rows
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).join(quotas.select(F.col("stratum").alias(stratum), "quota"), stratum)
+    near = rows.join(starts.filter("_start < quota").drop("_rows"), [stratum, depth])
+    place = F.col("_start") + F.row_number().over(W.partitionBy(stratum, depth).orderBy(*order))
+    return near.withColumn("place", place.cast("int")).filter("place <= quota").drop("_start")
+
+
 def round_robin(rows: DataFrame, stratum: Column, project: Column, quotas: DataFrame, order: list[Column]) -> DataFrame:
     """The first rows of every project, then the second ones, ... up to the stratum's quota;
     projects of a round come in the order of their hash.  quotas: stratum, quota."""
     named = rows.withColumn("stratum", stratum).withColumn("project", project)
     depth = named.withColumn("depth", F.row_number().over(W.partitionBy("stratum", "project").orderBy(*order)))
-    placed = depth.withColumn("place", F.row_number().over(W.partitionBy("stratum").orderBy("depth", F.sha1(F.col("project")), *order)))
-    return placed.join(F.broadcast(quotas.select("stratum", "quota")), "stratum").filter(F.col("place") <= F.col("quota"))
+    return first_of_rounds(depth, "stratum", "depth", quotas, [F.sha1(F.col("project")), *order])
 
 
 def diverse_round_robin(rows: DataFrame, group: str, bucket: list[str], order: list[Column], first: int = 2, weights: dict[str, int] | None = None, total: int | None = None) -> DataFrame:
@@ -68,8 +81,8 @@ def one_per_project(rows: DataFrame, project: Column, score: Column, draft_order
         turn = F.when(F.col("is_draft").isNull() if d is None else F.col("is_draft") == d, i).otherwise(turn)
     one = one.withColumn("_turn", turn)
     one = one.withColumn("_n", F.row_number().over(W.partitionBy(stratum, "_turn").orderBy(F.desc("_score"), F.sha1("project"), "file_key")))
-    placed = one.withColumn("place", F.row_number().over(W.partitionBy(stratum).orderBy("_n", "_turn")))
-    return placed.filter(F.col("place") <= quota)
+    quotas = one.select(F.col(stratum).alias("stratum")).distinct().withColumn("quota", F.lit(quota))
+    return first_of_rounds(one, stratum, "_n", quotas, [F.col("_turn")]).drop("quota")
 
 
 def recent_distinct(log: DataFrame, key: list[str], last: int, n: int) -> DataFrame:

@@ -149,6 +149,31 @@ def keyword_search(paragraphs: DataFrame, files: DataFrame, keywords: DataFrame,
     return out.select("file_key", "filename", F.round("score", 9).alias("score"), "duplicates", "matched_terms", "snippet", F.lit(total_files).cast("long").alias("total_files"), F.lit(total).cast("long").alias("total"))
 
 
+def fitting(files: DataFrame, filters: dict[str, DataFrame], roles: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files that every filter leaves, and what the filters say of the searchable ones.
+
+    ``filters``: by name, tables of file_key and answer (match, no_match or needs_review), as
+    the clause and fact filters give them; ``roles``: version roles to keep.  Only a match
+    stays.  The notices have a row for each filter and answer: filter, answer, files; the
+    filter 'version' gives the files of other roles as no_match, those of unknown role as
+    needs_review.
+    """
+    left = files.filter("status = 'ok'").select("file_key", "version_role")
+    every = []
+    if roles is not None:
+        own = F.col("version_role").isin(roles)
+        said = F.when(own, "match").when(F.coalesce("version_role", F.lit("unknown")) == "unknown", "needs_review").otherwise("no_match")
+        filters = {"version": left.select("file_key", said.alias("answer")), **filters}
+    for name, table in filters.items():
+        every.append(left.join(table.select("file_key", "answer"), "file_key").groupBy("answer").agg(F.count(F.lit(1)).alias("files")).select(F.lit(name).alias("filter"), "answer", "files"))
+    notices = every[0] if every else left.limit(0).select(F.lit("").alias("filter"), F.lit("").alias("answer"), F.lit(0).cast("long").alias("files"))
+    for more in every[1:]:
+        notices = notices.unionByName(more)
+    for table in filters.values():
+        left = left.join(table.filter("answer = 'match'"), "file_key", "left_semi")
+    return left.select("file_key"), notices
+
+
 def zero_hit_terms(paragraphs: DataFrame, terms: DataFrame) -> DataFrame:
     """Variants of the dictionary that stand in no paragraph."""
     hit = containing(paragraphs.select("content"), terms.select(F.col("variant").alias("needle")).distinct()).select(F.col("needle").alias("variant")).distinct()

@@ -75,6 +75,10 @@ _FACTS = f"""m AS (SELECT f.file_key, d, meta_schema_version AS v, parties_json:
   coalesce((j->'warranty'->'normalized'->>'survival_months')::DOUBLE, (j->'indemnity'->'normalized'->>'survival_months')::DOUBLE) BETWEEN 2 AND 30 AS k5,
   contains(lower(regexp_replace(j->'law'->'normalized'->>'law', ' +', ' ', 'g')), 'of korea') AS k6,
   CASE WHEN coalesce(j->'forum'->'normalized'->>'forum', j->'forum'->'normalized'->>'institution_or_court') IS NOT NULL THEN contains(lower(coalesce(j->'forum'->'normalized'->>'forum', '') || '|' || coalesce(j->'forum'->'normalized'->>'institution_or_court', '')), 'court') END AS k7 FROM m)"""
+#: One buyer, and an amount up to 1e10.
+_FACT_FILTER = """fk AS (SELECT file_key, CASE WHEN coalesce(meta_schema_version, 0) >= 3 THEN true END AS k0, CASE WHEN (parties_json::JSON->>'evaluated')::BOOLEAN THEN contains(lower(parties_json::JSON->'items'->0->>'role'), 'buyer') END AS k1,
+  CASE WHEN (consideration_json::JSON->>'evaluated')::BOOLEAN THEN (consideration_json::JSON->>'amount_value')::DOUBLE BETWEEN 0 AND 1e10 END AS k2 FROM fx_files f LEFT JOIN fx_doc_meta m USING (file_key) WHERE f.status = 'ok'),
+ facts AS (SELECT file_key, CASE WHEN k0 IS NULL OR k1 IS NULL THEN 'needs_review' WHEN NOT k1 THEN 'no_match' WHEN k2 IS NULL THEN 'needs_review' WHEN NOT k2 THEN 'no_match' ELSE 'match' END AS answer FROM fk)"""
 _FACT_NAMES = ["version", "party", "method", "amount", "cap_pct", "survival_months", "law", "forum"]
 
 

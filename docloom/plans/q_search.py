@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import search as S
+from docloom.plans import q_meta as M_SQL
 from docloom.plans.registry import query
 from docloom.sources import writers
 
@@ -71,6 +72,29 @@ def keyword_search(c):
     return S.keyword_search(c.paragraphs, c.files, keywords(c), c.terms, exclude_drafts=True)
 
 
+_FITS = f"""law AS ({M_SQL._clause('law', True)}), {M_SQL._FACT_FILTER},
+ ver AS (SELECT file_key, CASE WHEN version_role IN ('execution', 'buyer_draft', 'seller_draft', 'bidding') THEN 'match' WHEN coalesce(version_role, 'unknown') = 'unknown' THEN 'needs_review' ELSE 'no_match' END AS answer FROM fx_files WHERE status = 'ok'),
+ fits AS (SELECT file_key FROM fx_files WHERE status = 'ok' AND file_key IN (SELECT file_key FROM ver WHERE answer = 'match') AND file_key IN (SELECT file_key FROM law WHERE answer = 'match') AND file_key IN (SELECT file_key FROM facts WHERE answer = 'match'))"""
+
+
+def _fits(c):
+    from docloom.operators import metadata as M
+
+    filters = {"clause": M.clause_filter(c.files, c.doc_meta, "law", True), "facts": M.facts_filter(c.files, c.doc_meta, role="buyer", amount=(0, 1e10))}
+    return S.fitting(c.files, filters, ["execution", "buyer_draft", "seller_draft", "bidding"])
+
+
+@query("keyword_search_filtered", _SEARCH.replace("fused AS (", _FITS + ",\nfused AS (", 1).replace("AND (is_draft IS NULL OR is_draft <> 1)", "AND file_key IN (SELECT file_key FROM fits)"))
+def keyword_search_filtered(c):
+    """Keywords with version, clause and fact filters together."""
+    return S.keyword_search(c.paragraphs, c.files, keywords(c), c.terms, only=_fits(c)[0])
+
+
+@query("search_notices", f"WITH {_FITS} SELECT 'version' AS filter, answer, count(*) AS files FROM ver GROUP BY answer UNION ALL SELECT 'clause', answer, count(*) FROM law GROUP BY answer UNION ALL SELECT 'facts', answer, count(*) FROM facts GROUP BY answer")
+def search_notices(c):
+    return _fits(c)[1]
+
+
 def _index(c):
     """Postings of the corpus in two batches, as documents arrive."""
     from docloom.operators import postings
