@@ -13,7 +13,7 @@ from docloom.sources.fixtures import Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ["q_catalog", "q_meta", "q_search", "q_stats", "q_versions", "q_clauses", "q_structure", "q_extraction", "q_audits", "q_sampling", "q_evaluation", "q_incremental", "q_changes", "q_review", "q_passes", "q_streaming", "q_bundles"]
+MODULES = ["q_catalog", "q_meta", "q_search", "q_stats", "q_versions", "q_clauses", "q_structure", "q_extraction", "q_audits", "q_sampling", "q_evaluation", "q_incremental", "q_changes", "q_review", "q_passes", "q_streaming", "q_bundles", "q_sources"]
 
 
 def query(name: str, sql: str | None = None):
