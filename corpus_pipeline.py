@@ -31,14 +31,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: the one with the smallest id.
 
+    Two documents are linked if their SimHashes differ in 4 bits or fewer, or if they share a
+    band key of their five-word shingles, which is meant for a similarity of 0.8 or more (see
+    ``simhash.bands`` for the odds).
     Rows that repeat that id stay with it if their text is the same only once: of equal ids
     in a group the first by text is kept.  Documents without an id are kept only if no
     document of their group has one, first by text.
     """
     own, back = _prefixed(docs)
     keyed = own.withColumn("text_key", F.unhex(F.md5(F.coalesce("in_text", F.lit("")))))
-    rows = stored(simhash.with_fingerprints(keyed, "in_text", ["in_doc_id", "text_key"]), "stage-fps")
-    named = stored(simhash.near_duplicates(rows, "in_doc_id"), "stage-groups")
+    rows = stored(simhash.with_bands(keyed, "in_text", ["in_doc_id", "text_key"]), "stage-fps")
+    named = stored(simhash.near_duplicates(rows.drop("bands"), "in_doc_id", more=simhash.band_links(rows)), "stage-groups")
     first = F.coalesce(F.col("in_doc_id") == F.col("component_id"), F.col("component_id").isNull())
     # neither a null id nor an id on two unrelated texts names a group; its root does
     chosen = named.filter(first).groupBy("root", "in_doc_id").agg(F.min("text_key").alias("text_key"))
