@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 from docloom.functions.text import matches
 
 
+def fitting_rules(text: Column, rules: list[tuple[Column, Column]]) -> Column:
+    """Values of the rules (condition, value) whose condition holds, in their order.  Conditions
+    are literal patterns, so each is compiled once; there is no join with the rules."""
+    if not rules:
+        return F.array()
+    return F.array_compact(F.array(*[F.when(fits, value) for fits, value in rules]))
+
+
 def multi_label(rows: DataFrame, text: str, rules: DataFrame, key: list[str]) -> DataFrame:
     """Every rule (ord, pattern, not_pattern, label) that a text fits, as labels in rule order.
 
-    Each different text is read once and joined back.  Rules are a parameter table.
+    Rules are a parameter table; a null text fits none.
     """
-    texts = rows.select(F.col(text).alias("_t")).distinct()
-    fit = F.expr("_t rlike pattern and (not_pattern is null or not (_t rlike not_pattern))")
-    hit = texts.join(F.broadcast(rules), fit).groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("ls"))
-    labels = hit.select("_t", F.array_join(F.array_distinct(F.transform("ls", lambda x: x["label"])), "|").alias("labels"))
-    out = rows.select(*key, F.col(text).alias("_t")).join(labels, "_t", "left")
-    return out.select(*key, F.coalesce("labels", F.lit("")).alias("labels"))
+    t = F.col(text)
+    table = []
+    for r in rules.orderBy("ord", "label").collect():
+        fits = t.rlike(r["pattern"])
+        table.append((fits & ~t.rlike(r["not_pattern"]) if r["not_pattern"] is not None else fits, F.lit(r["label"])))
+    return rows.select(*key, F.array_join(F.array_distinct(fitting_rules(t, table)), "|").alias("labels"))
 
 
 def defined_term(text: Column) -> Column:
@@ -212,7 +220,9 @@ def absence_sweep(suspects: DataFrame, items: DataFrame, files: DataFrame, words
 def concept_evidence(paragraphs: DataFrame, concepts: DataFrame, examples: int = 5) -> DataFrame:
     """Per concept (concept, pattern): documents with it and the first examples, each document's
     first matching paragraph; a literal in the pattern (column literal) is tried first."""
-    hit = paragraphs.join(F.broadcast(concepts), F.expr("contains(lower(content), literal) and lower(content) rlike pattern"))
+    low = F.lower("content")
+    table = [(F.contains(low, F.lit(r["literal"])) & low.rlike(r["pattern"]), F.lit(r["concept"])) for r in concepts.collect()]  # a parameter table
+    hit = paragraphs.select("file_key", "para", F.explode(fitting_rules(low, table)).alias("concept"))
     first = hit.groupBy("concept", "file_key").agg(F.min("para").alias("para"))
     ranked = first.withColumn("_r", F.row_number().over(W.partitionBy("concept").orderBy("file_key")))
     docs = first.groupBy("concept").agg(F.count(F.lit(1)).alias("documents"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.text import matches
-from docloom.operators.extraction import multi_label
+from docloom.operators.extraction import fitting_rules, multi_label
+from docloom.operators.patterns import pattern_hits
 
 
 def absence_pool(files: DataFrame, coverage: DataFrame, items: DataFrame, paragraphs: DataFrame, sub: str, words: DataFrame, shown: int = 5) -> DataFrame:
@@ -22,7 +22,8 @@ def absence_pool(files: DataFrame, coverage: DataFrame, items: DataFrame, paragr
     pool = files.filter("status = 'ok' and coalesce(char_count, 0) > 0").join(done, "file_key", "left_semi").join(items.filter(below), "file_key", "left_anti")
     pool = pool.select("file_key", F.coalesce("dup_group", "file_key").alias("dup_group"))
     read = paragraphs.join(pool, "file_key", "left_semi")
-    hits = read.join(F.broadcast(words), matches(F.col("content"), F.col("word"))).groupBy("file_key").agg(F.array_sort(F.collect_set("word")).alias("found"))
+    found = pattern_hits(read.select("file_key", "content"), words.select(F.col("word").alias("needle"), F.lit(False).alias("bounded")))
+    hits = found.join(words.withColumn("needle", F.lower("word")), "needle").groupBy("file_key").agg(F.array_sort(F.collect_set("word")).alias("found"))
     texts = read.select("file_key").distinct().withColumn("text", F.lit(True))
     first = pool.groupBy("dup_group").agg(F.min("file_key").alias("first"))
     rows = pool.join(texts, "file_key", "left").join(hits, "file_key", "left").join(first, "dup_group")
@@ -41,7 +42,8 @@ def pool_report(pool: DataFrame) -> DataFrame:
 def leaf_hits(paragraphs: DataFrame, leaves: DataFrame) -> DataFrame:
     """First paragraph of each document that fits a proposed leaf (leaves: taxonomy_id, pattern,
     a parameter table): taxonomy_id, file_key, para."""
-    hit = paragraphs.join(F.broadcast(leaves), F.expr("content rlike pattern"))
+    table = [(F.col("content").rlike(r["pattern"]), F.lit(r["taxonomy_id"])) for r in leaves.collect()]
+    hit = paragraphs.select("file_key", "para", F.explode(fitting_rules(F.col("content"), table)).alias("taxonomy_id"))
     return hit.groupBy("taxonomy_id", "file_key").agg(F.min("para").alias("para"))
 
 
