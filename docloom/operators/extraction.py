@@ -136,13 +136,22 @@ def range_jaccard(items: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def nearest_node(rows: DataFrame, text: str, key: list[str], nodes: DataFrame) -> DataFrame:
-    """Node of the row's family whose label shares most words (Jaccard); ties to the largest id."""
+    """Node of the row's family whose label shares most words (Jaccard); ties to the largest id.
+
+    Rows meet only labels that share a word with them; a row that shares none gets its family's
+    largest id with score 0, and one whose family has no nodes has no result.
+    """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
-    labels = nodes.select("taxonomy_id", "family", words(F.col("label")).alias("_l"))
-    pairs = rows.select(*key, "family", words(F.col(text)).alias("_w")).join(F.broadcast(labels), "family")
-    score = F.size(F.array_intersect("_l", "_w")) / F.greatest(F.size(F.array_union("_l", "_w")), F.lit(1))
-    best = pairs.groupBy(*key).agg(F.max(F.struct(score.alias("score"), F.col("taxonomy_id"))).alias("b"))
-    return best.select(*key, "b.taxonomy_id", F.bround("b.score", 4).alias("score"))
+    columns = list(dict.fromkeys([*key, "family"]))
+    base = rows.select(*columns, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w")).distinct()
+    label = nodes.select("taxonomy_id", "family", words(F.col("label")).alias("_l"))
+    inverted = label.select("taxonomy_id", "family", F.size("_l").alias("_size"), F.explode("_l").alias("_word"))
+    met = base.select(*columns, "_w", F.explode("_w").alias("_word")).join(inverted, ["family", "_word"])
+    met = met.groupBy(*columns, "_w", "taxonomy_id", "_size").agg(F.count(F.lit(1)).alias("_both"))
+    score = F.col("_both") / (F.size("_w") + F.col("_size") - F.col("_both"))
+    best = met.groupBy(*key).agg(F.max(F.struct(score.alias("score"), F.col("taxonomy_id"))).alias("b"))
+    last = base.join(nodes.groupBy("family").agg(F.max("taxonomy_id").alias("_last")), "family").groupBy(*key).agg(F.max("_last").alias("_last"))
+    return last.join(best, key, "left").select(*key, F.coalesce("b.taxonomy_id", "_last").alias("taxonomy_id"), F.bround(F.coalesce("b.score", F.lit(0.0)), 4).alias("score"))
 
 
 def alias_matches(paragraphs: DataFrame, aliases: DataFrame, top: int = 6) -> DataFrame:

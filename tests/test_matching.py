@@ -63,3 +63,22 @@ def test_filters_and_notices(spark):
     assert {tuple(r) for r in notices.collect()} == {("version", "match", 2), ("version", "needs_review", 1), ("version", "no_match", 1), ("x", "match", 2), ("x", "needs_review", 1)}
     left, notices = search.fitting(files, {})
     assert left.count() == 4 and notices.count() == 0
+
+
+def test_nearest_node_equals_all_pairs(spark):
+    from docloom.operators.extraction import nearest_node
+
+    rng = random.Random(9)
+    phrase = lambda n: " ".join(rng.choice(["seller", "Buyer", "tax", "law", "the", "of", "é"]) for _ in range(rng.randint(0, n)))
+    nodes = [(f"{f}.{i:02d}", f, phrase(4)) for f in ("A", "B") for i in range(25)] + [("C.1", "C", None)]
+    rows = [(i, rng.choice("ABCD"), rng.choice([phrase(6), None])) for i in range(150)]
+    cut = lambda t: {w for w in (t or "").lower().split() if w}
+    want = {}
+    for i, family, text in rows:
+        scores = [(len(cut(text) & cut(label)) / max(len(cut(text) | cut(label)), 1), node) for node, f, label in nodes if f == family]
+        if scores:
+            best = max(scores)
+            want[i] = (best[1], round(best[0], 4))
+    out = nearest_node(spark.createDataFrame(rows, "i int, family string, t string"), "t", ["i"], spark.createDataFrame(nodes, "taxonomy_id string, family string, label string"))
+    assert {r["i"]: (r["taxonomy_id"], r["score"]) for r in out.collect()} == want
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
