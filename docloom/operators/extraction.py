@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import matches
 
+#: Up to so many nodes are broadcast with the words of their labels.
+BROADCAST_NODES = 20_000
+
 
 def fitting_rules(text: Column, rules: list[tuple[Column, Column]]) -> Column:
     """Values of the rules (condition, value) whose condition holds, in their order.  Conditions
@@ -143,15 +146,19 @@ def nearest_node(rows: DataFrame, text: str, key: list[str], nodes: DataFrame) -
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
     columns = list(dict.fromkeys([*key, "family"]))
-    base = rows.select(*columns, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w")).distinct()
     label = nodes.select("taxonomy_id", "family", words(F.col("label")).alias("_l"))
     inverted = label.select("taxonomy_id", "family", F.size("_l").alias("_size"), F.explode("_l").alias("_word"))
-    met = base.select(*columns, "_w", F.explode("_w").alias("_word")).join(inverted, ["family", "_word"])
-    met = met.groupBy(*columns, "_w", "taxonomy_id", "_size").agg(F.count(F.lit(1)).alias("_both"))
-    score = F.col("_both") / (F.size("_w") + F.col("_size") - F.col("_both"))
-    best = met.groupBy(*key).agg(F.max(F.struct(score.alias("score"), F.col("taxonomy_id"))).alias("b"))
-    last = base.join(nodes.groupBy("family").agg(F.max("taxonomy_id").alias("_last")), "family").groupBy(*key).agg(F.max("_last").alias("_last"))
-    return last.join(best, key, "left").select(*key, F.coalesce("b.taxonomy_id", "_last").alias("taxonomy_id"), F.bround(F.coalesce("b.score", F.lit(0.0)), 4).alias("score"))
+    if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        inverted = F.broadcast(inverted)
+    found = F.coalesce(words(F.col(text)), F.array().cast("array<string>"))
+    # a row's words meet the labels where they stand; what is left carries two hashes of the text
+    base = rows.select(*columns, found.alias("_w")).withColumns({"_n": F.size("_w"), "_k": F.xxhash64("_w"), "_k2": F.hash("_w")})
+    met = base.select(*columns, "_n", "_k", "_k2", F.explode("_w").alias("_word")).join(inverted, ["family", "_word"])
+    met = met.groupBy(*columns, "_n", "_k", "_k2", "taxonomy_id", "_size").agg(F.size(F.collect_set("_word")).alias("_both"))
+    score = F.col("_both") / (F.col("_n") + F.col("_size") - F.col("_both"))
+    last = rows.select(*columns).join(F.broadcast(nodes.groupBy("family").agg(F.max("taxonomy_id").alias("taxonomy_id"))), "family")
+    every = met.select(*key, score.alias("score"), "taxonomy_id").unionByName(last.select(*key, F.lit(0.0).alias("score"), "taxonomy_id"))
+    return every.groupBy(*key).agg(F.max(F.struct("score", "taxonomy_id")).alias("b")).select(*key, "b.taxonomy_id", F.bround("b.score", 4).alias("score"))
 
 
 def alias_matches(paragraphs: DataFrame, aliases: DataFrame, top: int = 6) -> DataFrame:

@@ -101,9 +101,8 @@ def _index(c):
     from docloom.sources.scratch import new_path
 
     path = new_path(c.spark, "postings")
-    own = c.paragraphs.join(c.files.select("file_key", "doc_id"), "file_key")
     for batch in (0, 1):
-        postings.add_to_index(own.filter(F.col("doc_id") % 2 == batch), path, batch)
+        postings.add_to_index(c.placed.filter(F.col("doc_id") % 2 == batch), path, batch)
     return path
 
 
