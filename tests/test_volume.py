@@ -28,3 +28,26 @@ def test_nearest_node_of_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "F", "One two, three"), (1, "F", "One two, three"), (1, "F", "three"), (2, "F", None), (3, "G", "one"), (4, "F", "one two")], "id int, family string, t string")
     got = {tuple(r) for r in X.nearest_node(rows, "t", ["id"], nodes).collect()}
     assert got == {(1, "B", 1.0), (2, "C", 0.0), (4, "A", 1.0)}
+
+
+def test_postings_are_written_without_a_shuffle(spark, tmp_path):
+    from docloom.operators import postings as P
+
+    rows = Corpus(spark, SF).paragraphs.localCheckpoint()
+    chars = rows.agg(F.sum(F.length("content"))).first()[0]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = written()
+    P.add_to_index(rows, str(tmp_path), 0)
+    files = list(tmp_path.rglob("postings/*/*/*.parquet"))
+    assert files and written() - before < chars / 100  # sums only
+    assert sum(f.stat().st_size for f in files if "bucket=-1" not in str(f)) < 12 * chars
+
+
+def test_postings_do_not_run_across_paragraphs(spark, tmp_path):
+    from docloom.operators import postings as P
+
+    rows = [("f", 1, "xxab"), ("f", 2, "cdxx"), ("f", 3, "abcd" * 40), ("f", 4, "\U0001F600abcd"), ("g", 1, "İabcd")]
+    P.add_to_index(spark.createDataFrame(rows, "file_key string, para int, content string").coalesce(1), str(tmp_path), 0)
+    got = {tuple(r)[1:] for r in P._phrases(P._lists(spark, str(tmp_path), P._wanted(spark, ["abcd"])), P._wanted(spark, ["abcd"])).collect()}
+    assert got == {("f", 3, 158, 40), ("f", 4, 3, 1), ("g", 1, 3, 1)}
