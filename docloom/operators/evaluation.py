@@ -2,29 +2,66 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.functions.grams import gram_hashes, least_in_windows
+from docloom.functions.ranking import rank_within
 from docloom.functions.text import subdomain
+from docloom.sources.scratch import stored
+
+#: From so many rows on, a needle's hits are ranked in parts.
+OFTEN = 50_000
 
 
 def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def _grams(text: Column, size: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+#: A shorter text is found by the least of its grams' hashes.  Of a longer text the least hashes
+#: of all runs of so many grams are kept: the more the shorter text has, the fewer are needed.
+RUNS = (1, 9, 33)
+
 
+def _contained(texts: DataFrame, least: int) -> DataFrame:
+    """Pairs s_key, l_key of a document's texts (file_key, key, text, is_gold, is_row), one of a gold
+    item and one of a result, of which the first stands in the second (``least`` characters or more).
 
-def _contained(short: DataFrame, long: DataFrame, least: int) -> DataFrame:
-    """Pairs of a document in which the text of ``short`` (s_ref, s_text) stands in that of
-    ``long`` (l_ref, l_text): the short one's gram of least hash must be among the long one's."""
-    some = F.transform(_grams(F.col("s_text"), least), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram")))
-    probe = short.filter(F.length("s_text") >= least).withColumn("gram", F.array_min(some)["gram"])
-    held = long.filter(F.length("l_text") >= least).select("file_key", "l_ref", F.explode(_grams(F.col("l_text"), least)).alias("gram"))
-    near = probe.join(held, ["file_key", "gram"]).join(long.select("file_key", "l_ref", "l_text"), ["file_key", "l_ref"])
-    return near.filter(F.contains("l_text", F.col("s_text"))).select("file_key", "s_ref", "l_ref")
+    The longer texts of a document are cut for those lengths only that its shorter ones have.
+    """
+    runs = list(RUNS)
+
+    def keys(batches):
+        for b in batches:
+            at, longer, run, out = [], [], [], []
+            for i, (text, wanted) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                hashes = gram_hashes(text, least)
+                own = max(k for k, r in enumerate(runs) if len(hashes) >= r)
+                each = [(k, least_in_windows(hashes, r)) for k, r in enumerate(runs) if wanted >> k & 1]
+                for k, found, role in [(own, hashes.min(keepdims=True), False), *[(k, f, True) for k, f in each]]:
+                    at.append(np.full(len(found), i))
+                    longer.append(np.full(len(found), role))
+                    run.append(np.full(len(found), k, np.int32))
+                    out.append(found.view(np.int64))
+            join = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
+            taken = [b.column(c).take(join(at, pa.int64())) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([*taken, join(longer, pa.bool_()), join(run, pa.int32()), join(out, pa.int64())], names=["file_key", "key", "is_gold", "is_row", "longer", "run", "hash"])
+
+    size = F.length("text") - least + 1
+    own = F.lit(0)
+    for k, r in enumerate(runs):
+        own = F.when(size >= r, 1 << k).otherwise(own)
+    wanted = texts.groupBy("file_key").agg(F.bit_or(own).alias("wanted"))
+    rows = texts.join(wanted, "file_key").select("file_key", "key", "is_gold", "is_row", "text", "wanted")
+    found = rows.mapInArrow(keys, "file_key string, key string, is_gold boolean, is_row boolean, longer boolean, run int, hash long")
+    side = lambda p, longer: found.filter(F.col("longer") == longer).select("file_key", "run", "hash", F.col("key").alias(f"{p}_key"), F.col("is_gold").alias(f"{p}_gold"), F.col("is_row").alias(f"{p}_row"))
+    near = side("s", False).join(side("l", True), ["file_key", "run", "hash"]).filter("s_key <> l_key and (s_gold and l_row or s_row and l_gold)").select("file_key", "s_key", "l_key")
+    body = lambda p: texts.select("file_key", F.col("key").alias(f"{p}_key"), F.col("text").alias(f"{p}_text"))
+    sure = near.join(body("s"), ["file_key", "s_key"]).join(body("l"), ["file_key", "l_key"]).filter(F.contains("l_text", F.col("s_text")))
+    return sure.select("file_key", "s_key", "l_key")
 
 
 def match_answers(gold: DataFrame, rows: DataFrame, least: int = 8) -> DataFrame:
@@ -36,13 +73,19 @@ def match_answers(gold: DataFrame, rows: DataFrame, least: int = 8) -> DataFrame
     Each rule has a key of its own (the text; a gram of the shorter text; the later range's
     first paragraph), so no document's items are all held against each other.
     """
-    g = gold.select("file_key", "gt_id", fold(F.col("verbatim")).alias("text"), "loc_start", "loc_end", subdomain(F.col("taxonomy_id")).alias("sub"))
-    r = rows.select("file_key", "ref", fold(F.col("verbatim")).alias("text"), "loc_start", "loc_end", subdomain(F.col("taxonomy_id")).alias("sub"))
+    text = fold(F.col("verbatim"))
+    g = gold.select("file_key", "gt_id", text.alias("text"), F.md5(text).alias("key"), "loc_start", "loc_end", subdomain(F.col("taxonomy_id")).alias("sub"))
+    r = rows.select("file_key", "ref", text.alias("text"), F.md5(text).alias("key"), "loc_start", "loc_end", subdomain(F.col("taxonomy_id")).alias("sub"))
     pair = ["file_key", "gt_id", "ref"]
-    same = g.select("file_key", "gt_id", "text").join(r.select("file_key", "ref", "text"), ["file_key", "text"]).select(*pair, F.lit(1).alias("rule"))
-    texts = lambda df, ref, side: df.select("file_key", F.col(ref).alias(f"{side}_ref"), F.col("text").alias(f"{side}_text"))
-    inner = _contained(texts(g, "gt_id", "s"), texts(r, "ref", "l"), least).select("file_key", F.col("s_ref").alias("gt_id"), F.col("l_ref").alias("ref"), F.lit(2).alias("rule"))
-    outer = _contained(texts(r, "ref", "s"), texts(g, "gt_id", "l"), least).select("file_key", F.col("l_ref").alias("gt_id"), F.col("s_ref").alias("ref"), F.lit(2).alias("rule"))
+    gk, rk = g.select("file_key", "gt_id", "key"), r.select("file_key", "ref", "key")
+    same = gk.join(rk, ["file_key", "key"]).select(*pair, F.lit(1).alias("rule"))
+    long = g.select("file_key", "key", "text", F.lit(True).alias("g")).unionByName(r.select("file_key", "key", "text", F.lit(False).alias("g"))).filter(F.length("text") >= least)
+    texts = long.groupBy("file_key", "key").agg(F.first("text").alias("text"), F.max("g").alias("is_gold"), F.max(~F.col("g")).alias("is_row"))
+    texts = stored(texts.join(gold.select("file_key").distinct(), "file_key", "left_semi"), "answer-texts")  # equal texts of a document once
+    held = stored(_contained(texts, least), "answer-pairs")
+    side = lambda df, key: df.withColumnRenamed("key", key)
+    inner = held.join(side(gk, "s_key"), ["file_key", "s_key"]).join(side(rk, "l_key"), ["file_key", "l_key"]).select(*pair, F.lit(2).alias("rule"))
+    outer = held.join(side(rk, "s_key"), ["file_key", "s_key"]).join(side(gk, "l_key"), ["file_key", "l_key"]).select(*pair, F.lit(2).alias("rule"))
     spans = lambda df, ref, side: df.filter("loc_start <= loc_end").select("file_key", "sub", ref, F.col("loc_start").alias(f"{side}_lo"), F.col("loc_end").alias(f"{side}_hi"))
     gs, rs = spans(g, "gt_id", "g"), spans(r, "ref", "r")
     key = ["file_key", "sub", "at"]
@@ -148,10 +191,15 @@ def probe_ranks(probes: DataFrame, rows: DataFrame) -> DataFrame:
     and keys.  probes: probe, file_key, para, needle; rows: paragraphs."""
     from docloom.operators.search import containing
 
-    hits = containing(rows, probes.select("probe", "needle"), fold=True)
-    w = W.partitionBy("probe").orderBy(F.length("content"), "file_key", "para")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).select("probe", "file_key", "para", "rank")
-    return probes.select("probe", "file_key", "para").join(ranked, ["probe", "file_key", "para"], "left")
+    probes = probes.withColumn("needle", F.lower("needle"))
+    # equal needles are looked for and ranked once
+    hits = containing(rows, probes.select("needle").distinct(), fold=True).select("needle", "file_key", "para", F.length("content").alias("size"))
+    hits = stored(hits, "probe-hits")
+    often = F.broadcast(hits.groupBy("needle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).select("needle"))  # fewer than hits / OFTEN
+    w = W.partitionBy("needle").orderBy("size", "file_key", "para")
+    few = hits.join(often, "needle", "left_anti").select("needle", "file_key", "para", F.row_number().over(w).alias("rank"))
+    many = rank_within(hits.join(often, "needle", "left_semi"), "needle", "size", ["file_key", "para"]).select("needle", "file_key", "para", F.col("rank").cast("int").alias("rank"))
+    return probes.join(few.unionByName(many), ["needle", "file_key", "para"], "left").select("probe", "file_key", "para", "rank")
 
 
 def miss_reasons(missed: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:

@@ -1,5 +1,6 @@
 """What is shuffled: no text travels beside its words, grams or places."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -51,3 +52,47 @@ def test_postings_do_not_run_across_paragraphs(spark, tmp_path):
     P.add_to_index(spark.createDataFrame(rows, "file_key string, para int, content string").coalesce(1), str(tmp_path), 0)
     got = {tuple(r)[1:] for r in P._phrases(P._lists(spark, str(tmp_path), P._wanted(spark, ["abcd"])), P._wanted(spark, ["abcd"])).collect()}
     assert got == {("f", 3, 158, 40), ("f", 4, 3, 1), ("g", 1, 3, 1)}
+
+
+def test_many_needles_are_not_met_by_trigrams(spark):
+    from docloom.operators import search as S
+
+    rng = random.Random(2)
+    word = lambda: rng.choice(["there", "Straße", "ab", "the", "whst", "İx", "\U0001F600"])
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(200)] + [(200, None), (201, "")]
+    needles = sorted({t[a : a + rng.choice([3, 5, 6, 11, 12, 23, 24, 40])] for _, t in rows if t for a in (0, 4, 9)} | {"not there at all, no"})
+    table = spark.createDataFrame([(n,) for n in needles if len(n) >= 3], "needle string")
+    texts = spark.createDataFrame(rows, "id int, content string")
+    got = S.containing(texts, table, limit=10)
+    lower = dict(texts.select("id", F.lower("content")).collect())
+    low = dict(table.select("needle", F.lower("needle")).collect())
+    assert sorted((r["id"], r["needle"]) for r in got.collect()) == sorted((i, n) for i, t in lower.items() for n in low if t and low[n] in t)
+    assert not any("_g#" in d or "_p#" in d for d in exchanged(got))
+
+
+def test_answers_in_longer_texts(spark):
+    from docloom.operators import evaluation as E
+
+    rng = random.Random(5)
+    body = lambda n: "".join(rng.choice("abcdé ") for _ in range(n)).strip()
+    gold, rows = [], []
+    for d in range(12):
+        texts = [body(rng.choice([9, 20, 60, 200])) for _ in range(6)]
+        for k, t in enumerate(texts):
+            a = rng.randint(0, 4)
+            gold.append((f"g{d}-{k}", f"f{d}", t if k % 2 else t[a : a + rng.choice([7, 8, 15, 16, 17, 39, 40, 41, 90])], k * 9, k * 9, "A.B"))
+            rows.append((f"r{d}-{k}", f"f{d}", t, k * 9 + 400, k * 9 + 400, "A.B"))
+            rows.append((f"q{d}-{k}", f"f{d}", t[a : a + rng.choice([7, 8, 9, 15, 16, 39, 40, 90])], k * 9 + 800, k * 9 + 800, "A.B"))
+    more = "file_key string, verbatim string, loc_start int, loc_end int, taxonomy_id string"
+    fold = lambda t: " ".join(t.split(" ")) if "  " not in t else " ".join(x for x in t.split(" ") if x)
+    want = set()
+    for g, gf, gt, *_ in gold:
+        for r, rf, rt, *_ in rows:
+            a, b = fold(gt.strip()), fold(rt.strip())
+            if gf == rf and a == b:
+                want.add((g, r, "text"))
+            elif gf == rf and min(len(a), len(b)) >= 8 and (a in b or b in a):
+                want.add((g, r, "contained"))
+    got = E.match_answers(spark.createDataFrame(gold, f"gt_id string, {more}"), spark.createDataFrame(rows, f"ref string, {more}"))
+    assert {(x["gt_id"], x["ref"], x["rule"]) for x in got.collect()} == want
+    assert not any("text#" in d or "gram#" in d for d in exchanged(got))
