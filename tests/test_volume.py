@@ -96,3 +96,17 @@ def test_answers_in_longer_texts(spark):
     got = E.match_answers(spark.createDataFrame(gold, f"gt_id string, {more}"), spark.createDataFrame(rows, f"ref string, {more}"))
     assert {(x["gt_id"], x["ref"], x["rule"]) for x in got.collect()} == want
     assert not any("text#" in d or "gram#" in d for d in exchanged(got))
+
+
+def test_words_end_at_letters_of_any_script(spark):
+    import duckdb
+
+    from docloom.operators import passes as P
+    from docloom.plans import q_passes as Q
+
+    texts = ["öund sounds not alone.", "hier und dort", "und", "ñundé", "_und", "(und)", "this", "thisé", "éis"]
+    ours = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(F.col("t").rlike(Q._ABSENCE)).collect()]
+    theirs = [duckdb.execute(f"SELECT regexp_matches(?, '{Q._ABSENCE}')", [t]).fetchone()[0] for t in texts]
+    assert ours == theirs == [False, True, True, False, False, True, False, False, False]
+    said = spark.createDataFrame([("some ümay words here",), ("some may words here",)], "t string").select("t", P.substantive(F.col("t"))).collect()
+    assert dict(map(tuple, said)) == {"some ümay words here": False, "some may words here": True}
