@@ -110,3 +110,10 @@ def test_words_end_at_letters_of_any_script(spark):
     assert ours == theirs == [False, True, True, False, False, True, False, False, False]
     said = spark.createDataFrame([("some ümay words here",), ("some may words here",)], "t string").select("t", P.substantive(F.col("t"))).collect()
     assert dict(map(tuple, said)) == {"some ümay words here": False, "some may words here": True}
+
+
+def test_proposed_candidates_deal_no_body_twice(spark):
+    from docloom.plans import q_passes as Q
+
+    dealt = exchanged(Q.proposed_candidates(Corpus(spark, SF)))
+    assert dealt and not any("content#" in d for d in dealt)
