@@ -42,8 +42,7 @@ def paragraph_reading(c):
 h AS (SELECT item_id, f.file_key, count(*) AS hits FROM g JOIN documents d ON contains(d.text, substr(q, i, 12)) JOIN fx_files f USING (doc_id) WHERE f.status = 'ok' GROUP BY ALL)
 SELECT item_id, file_key, round(hits / n, 6) AS coverage, hits / n < 0.7 AS ungrounded FROM h JOIN n USING (item_id)""")
 def grounding(c):
-    docs = c.files.filter("status = 'ok'").select("doc_id", "file_key").join(c.documents.select("doc_id", "text"), "doc_id").select("file_key", "text")
-    rows = X.shingle_coverage(c.table("benchmark").select("item_id", F.col("text").alias("quote")), docs)
+    rows = X.shingle_coverage(c.table("benchmark").select("item_id", F.col("text").alias("quote")), c.texts)
     return rows.select("item_id", "file_key", F.round("coverage", 6).alias("coverage"), (F.col("coverage") < 0.7).alias("ungrounded"))
 
 

@@ -117,3 +117,24 @@ def test_proposed_candidates_deal_no_body_twice(spark):
 
     dealt = exchanged(Q.proposed_candidates(Corpus(spark, SF)))
     assert dealt and not any("content#" in d for d in dealt)
+
+
+def test_grounding_deals_only_grams_of_quotes(spark):
+    from docloom.operators import extraction as X
+
+    rng = random.Random(7)
+    body = lambda n: "".join(rng.choice("abé \U0001F600") for _ in range(n))
+    docs = [(f"f{i}", body(n)) for i, n in enumerate([0, 5, 11, 12, 13, 400, 3000])] + [("g", None), ("h", "abcdef"), ("i", "ghijkl")]
+    quotes = [(k, docs[6][1][a : a + n]) for k, (a, n) in enumerate([(0, 12), (7, 60), (2900, 100)])] + [(8, "abcdefghijkl"), (9, "short")]  # 8 stands only across two documents
+    quotes, docs_ = spark.createDataFrame(quotes, "item_id int, quote string"), spark.createDataFrame(docs, "file_key string, text string")
+    out = X.shingle_coverage(quotes, docs_)
+    want = set()
+    for q in quotes.collect():
+        grams = [q.quote[i : i + 12] for i in range(0, len(q.quote) - 11, 6)]
+        want |= {(q.item_id, k, n / len(grams)) for k, t in docs if (n := sum(g in (t or "") for g in grams))}
+    assert {tuple(r) for r in out.collect()} == want
+    # before, all strings of all texts were dealt out
+    text = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in text and "piece" not in text
+    every = X.sought_grams(docs_, 12, quotes.selectExpr("substring(quote, 1, 12) AS gram"), limit=0)
+    assert every.columns == ["file_key", "gram"] and every.count() > 3000
