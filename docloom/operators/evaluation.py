@@ -176,8 +176,9 @@ def quote_needle(text: Column, size: int = 40) -> Column:
 
 def paraphrase_tokens(text: Column, n: int = 4) -> Column:
     """The n longest different words, longest first, then by spelling; a trailing 's' is dropped."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]{3,})"), 1), lambda w: F.regexp_replace(w, "s$", "")))
-    keyed = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    # a run of three letters or more is matched whole, the group leaves its last 's' out
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?=\p{L}{3})(\p{L}+?)s?(?!\p{L})"), 1))
+    keyed = F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))  # array_sort compares by a lambda
     return F.transform(F.slice(keyed, 1, n), lambda x: x["w"])
 
 

@@ -82,3 +82,24 @@ def test_nearest_node_equals_all_pairs(spark):
     out = nearest_node(spark.createDataFrame(rows, "i int, family string, t string"), "t", ["i"], spark.createDataFrame(nodes, "taxonomy_id string, family string, label string"))
     assert {r["i"]: (r["taxonomy_id"], r["score"]) for r in out.collect()} == want
     assert "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_paraphrase_tokens_of_odd_words(spark):
+    """Tokens equal the rule's plain form, and a paragraph's are worked out once, not per item."""
+    import re
+
+    from docloom.operators import evaluation as E
+    from docloom.plans import q_evaluation as Q
+    from docloom.sources.fixtures import Corpus
+    from tests.oracle import SF
+
+    texts = ["its pass passes ss sss ssss as is", "été ßss Öls 12abc34s x_abcs", "", None, "a bc", "ab1cd e\U0001F600fgh's", "bus-bus busses BUS"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(E.paraphrase_tokens(F.col("t"))).collect()]
+
+    def plain(t):
+        words = {w[:-1] if w.endswith("s") else w for w in re.findall(r"[^\W\d_]{3,}", t.lower())}
+        return sorted(words, key=lambda w: (-len(w), w))[:4]
+
+    assert got == [None if t is None else plain(t) for t in texts]
+    plan = Q.paraphrase_probe(Corpus(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "Join" not in plan
