@@ -55,7 +55,7 @@ def streamed_recurrence(c):
  c AS (SELECT *, lag(content_hash) OVER (PARTITION BY doc_id ORDER BY t) AS was FROM n), d AS (SELECT * FROM c WHERE was IS NULL OR was <> content_hash)
  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS version, content_hash, CASE WHEN was IS NULL THEN 'new' ELSE 'changed' END AS change FROM d""")
 def streamed_versions(c):
-    """States of users as versions of documents, arriving in one file."""
+    """States of users as versions of documents, arriving in one batch."""
     from docloom.streaming import state
 
     rows = c.table("events").select(F.col("user_id").cast("long").alias("doc_id"), F.substring("event_type", 1, 4).alias("content_hash"), F.col("ts").cast("timestamp").alias("at"))

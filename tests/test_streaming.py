@@ -88,3 +88,32 @@ def test_state_counts_and_expires(spark, tmp_path):
     assert sorted(x for x in seen if x[0] == 1) == [(1, 1, "a", "new"), (1, 2, "b", "changed"), (1, 2, "b", "missing")]
     assert sorted(x for x in seen if x[0] == 2) == [(2, 1, "b", "missing"), (2, 1, "b", "new")]
     assert [x for x in seen if x[0] == 3] == [(3, 1, "z", "new"), (3, 2, "y", "changed")]
+
+
+def test_counts_run_without_python_and_versions_without_row_loops(spark, tmp_path):
+    """Many files in few batches; documents of one key are dealt out; versions equal the plain loop."""
+    import random
+
+    from docloom.streaming import state
+
+    rows = spark.range(4000).selectExpr("'k' AS recurrence_key", "concat('d', id % 900) AS file_key").repartition(9)
+    out = state.streamed(rows, state.recurrence_counts, "counts", files=3)
+    got = {r["batch_no"]: r["documents"] for r in out.collect()}
+    assert len(got) == 3 and max(got.values()) == 900
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path))
+    assert "InPandas" not in state.recurrence_counts(stream)._jdf.queryExecution().analyzed().toString()
+    rng = random.Random(1)
+    events = [(d, rng.choice("abc"), f"2024-01-{rng.randint(1, 28):02d} 0{rng.randint(0, 3)}:00:00.{rng.randint(0, 1)}005") for d in range(6) for _ in range(rng.choice([1, 2, 80]))]
+    table = spark.createDataFrame(events, "doc_id long, content_hash string, at string").withColumn("at", F.to_timestamp("at")).repartition(5)
+    out = state.streamed(table, lambda s: state.document_versions(s, "36500 days", "36500 days"), "loop", files=1)
+    want = set()
+    for d in range(6):
+        newest, held, version = {}, None, 0
+        for _, h, at in sorted(e for e in events if e[0] == d):
+            newest[at] = max(h, newest.get(at, ""))
+        for at in sorted(newest):
+            if newest[at] != held:
+                version, held = version + 1, newest[at]
+                want.add((d, version, held, "new" if version == 1 else "changed", f"{at}00"[:26].rstrip("0").rstrip(".")))
+    got = {(r["doc_id"], r["version"], r["content_hash"], r["change"], r["t"]) for r in out.withColumn("t", F.col("at").cast("string")).collect()}
+    assert got == want
