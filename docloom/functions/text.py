@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -62,10 +62,27 @@ def matches(content: Column, term: Column) -> Column:
     return F.contains(F.lower(content), F.lower(term))
 
 
+#: Texts that fold by lower case and 'ss' alone: ASCII, Latin-1 letters, Hangul syllables.
+PLAIN = r"^[\x00-\x7FÀ-ÖØ-öø-ÿ가-힣]*\z"
+
+
+def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the ``signature`` of a text.  Python is given other texts than ``PLAIN`` ones only,
+    each once; where there are none, it does not start."""
+    plain = F.coalesce(F.col(text).rlike(PLAIN), F.lit(True))
+    near = rows.filter(plain).withColumn(name, _bare(F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))))
+    odd = rows.filter(~plain)
+    known = odd.select(text).distinct().withColumn(name, signature(F.col(text)))
+    return near.unionByName(odd.join(known, text))
+
+
+def _bare(folded: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(folded, r"\d+", "#"), r"[^\p{L}\p{N}#]+", "")
+
+
 def signature(text: Column) -> Column:
     """A text's key across documents: folded, runs of digits as '#', letters, digits and '#' only."""
-    folded = fold_ascii_path(text, nfkc_casefold(text))
-    return F.regexp_replace(F.regexp_replace(folded, r"\d+", "#"), r"[^\p{L}\p{N}#]+", "")
+    return _bare(fold_ascii_path(text, nfkc_casefold(text)))
 
 
 def occurrences(content: Column, term: Column) -> Column:

@@ -105,30 +105,30 @@ def coverage_histogram(c):
 _SIG = "regexp_replace(regexp_replace(replace(lower(proposed_ko), 'ß', 'ss'), '[0-9]+', '#', 'g'), '[^\\p{L}\\p{N}#]+', '', 'g')"
 
 
-def _sig(column="proposed_ko"):
-    return T.signature(F.col(column))
+def _signed(c):
+    return T.with_signature(c.candidates, "proposed_ko", "sig")
 
 
 @query("candidate_clusters", f"SELECT cluster, n, documents, types, langs, evidence FROM (SELECT family || ':' || {_SIG} AS cluster, count(*)::BIGINT AS n, count(DISTINCT evidence_file_key)::BIGINT AS documents, count(DISTINCT ctype)::BIGINT AS types, count(DISTINCT lang)::BIGINT AS langs, array_to_string((list(evidence_file_key ORDER BY evidence_file_key, candidate_id))[1:5], '|') AS evidence FROM fx_candidate LEFT JOIN fx_files ON file_key = evidence_file_key GROUP BY 1) WHERE n >= 2")
 def candidate_clusters(c):
-    return S.clusters(c.candidates, F.concat("family", F.lit(":"), _sig()), c.files)
+    return S.clusters(_signed(c), F.concat("family", F.lit(":"), "sig"), c.files)
 
 
 @query("candidate_recurrence", f"WITH k AS (SELECT candidate_id, evidence_file_key, family || ':' || {_SIG} AS recurrence_key FROM fx_candidate) SELECT candidate_id, recurrence_key, greatest(1, n)::BIGINT AS document_count FROM k JOIN (SELECT recurrence_key, count(DISTINCT evidence_file_key) AS n FROM k GROUP BY 1) USING (recurrence_key)")
 def candidate_recurrence(c):
-    return S.recurrence(c.candidates, F.concat("family", F.lit(":"), _sig())).select("candidate_id", "recurrence_key", "document_count")
+    return S.recurrence(_signed(c), F.concat("family", F.lit(":"), "sig")).select("candidate_id", "recurrence_key", "document_count")
 
 
 @query("recurrence_sizes", f"SELECT size, count(*)::BIGINT AS n FROM (SELECT count(*)::BIGINT AS size FROM fx_candidate GROUP BY family || ':' || {_SIG}) GROUP BY size")
 def recurrence_sizes(c):
-    return S.histogram_of_sizes(c.candidates.withColumn("k", F.concat("family", F.lit(":"), _sig())), "k")
+    return S.histogram_of_sizes(_signed(c).withColumn("k", F.concat("family", F.lit(":"), "sig")), "k")
 
 
 @query("candidate_backlog", f"""WITH k AS (SELECT *, family || ':' || {_SIG} AS name_key FROM fx_candidate WHERE status = 'pending'), a AS (SELECT name_key, count(DISTINCT evidence_file_key) AS docs FROM k GROUP BY 1),
  b AS (SELECT k.*, contains(recommended_parent_id, '.') AS dotted, contains(recommended_parent_id, '.') OR document_count > 1 OR docs > 1 AS blocks FROM k JOIN a USING (name_key))
  SELECT family, CASE WHEN dotted THEN 'specific_parent' WHEN blocks THEN 'recurs' ELSE 'one_off' END AS reason, count(*)::BIGINT AS n, count(DISTINCT name_key)::BIGINT AS names, count(DISTINCT evidence_file_key)::BIGINT AS documents FROM b GROUP BY ALL""")
 def candidate_backlog(c):
-    rows = S.blocked_candidates(c.candidates, F.concat("family", F.lit(":"), _sig()))
+    rows = S.blocked_candidates(_signed(c), F.concat("family", F.lit(":"), "sig"))
     return rows.groupBy("family", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name_key").alias("names"), F.count_distinct("evidence_file_key").alias("documents"))
 
 

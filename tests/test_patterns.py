@@ -54,3 +54,18 @@ def test_vocabulary_by_script(spark):
     words = spark.createDataFrame([("S", "No asset encumbrance"), ("S", "상법상 Act"), ("S", "담보"), ("S", "the"), ("S", "")], "sub string, term string")
     got = {(r["needle"], r["bounded"]) for r in P.script_needles(words, ["asset"]).collect()}
     assert got == {("encumbrance", True), ("상법상 act", False), ("담보", False)}
+
+
+def test_signatures_of_plain_texts_need_no_python(spark):
+    from pyspark.sql import functions as F
+
+    from docloom.functions import text as T
+
+    every = [chr(c) for c in [*range(1, 0x250), *range(0xAC00, 0xD7A4, 97), 0x300, 0x11A8, 0xFF21, 0x130, 0x1E9E, 0x2160]]
+    texts = [a + b for a in every for b in ("", "1S", "́", "ß", "각")] + ["", None, "é", "ＡＢ12", "ﬁn"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(map(tuple, T.with_signature(rows, "t", "s").select("i", "s").collect()))
+    assert got == dict(map(tuple, rows.select("i", T.signature(F.col("t"))).collect()))
+    plain = T.with_signature(rows.filter(F.col("t").rlike(T.PLAIN)), "t", "s")
+    plain.collect()
+    assert "ArrowEvalPython" not in plain._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
